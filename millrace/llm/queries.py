@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ann, html_extract, langid, mixing, packing, simhash, topk, warc
+from millrace.llm import ann, html_extract, langid, line_dedup, mixing, packing, simhash, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,11 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -47,6 +52,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_warc, op3_html, op5_ann, op6_langid, op7_topk, op8_simhash, op9_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_warc, op3_html, op4_line_dedup, op5_ann, op6_langid, op7_topk, op8_simhash, op9_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
