@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ann, html_extract, langid, line_dedup, mixing, packing, simhash, topk, warc
+from millrace.llm import ann, html_extract, langid, license_scan, line_dedup, mixing, packing, simhash, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_warc, op3_html, op4_line_dedup, op5_ann, op6_langid, op7_topk, op8_simhash, op9_packing)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_warc, op3_html, op4_line_dedup, op5_ann, op6_langid, op7_topk, op8_simhash, op9_packing, op10_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
