@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIM = 8192
+DIM = 4096
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -120,7 +120,7 @@ def _features_of(docs: DataFrame, label: Column) -> DataFrame:
     return docs.select(label.alias("lang"), "text").mapInArrow(run, "lang string, x binary")
 
 
-def fit(labelled: DataFrame, per_language: int = 1500) -> Model | None:
+def fit(labelled: DataFrame, per_language: int = 600) -> Model | None:
     """A model from ``labelled(doc_id, text, lang)``; None if no row has a language and a letter.
 
     The sample: of each language about ``per_language`` rows of the smallest hashes of doc_id (all, if it has fewer), as whole texts.
