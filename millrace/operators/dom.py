@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ELEMENT, TEXT, COMMENT, DOCUMENT = 1, 3, 8, 9
+#: Elements nested deeper lie beside each other at this depth.
+MAX_DEPTH = 256
 
 # The markup standard's element classes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,15 +28,16 @@ _ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 
 
 class Node:
-    __slots__ = ("kind", "tag", "attrs", "data", "children", "parent")
+    __slots__ = ("kind", "tag", "attrs", "data", "children", "parent", "depth")
 
     def __init__(self, kind: int, tag: str = "", attrs: dict[str, str] | None = None, data: str = "") -> None:
         self.kind, self.tag, self.attrs, self.data = kind, tag, attrs if attrs is not None else {}, data
         self.children: list[Node] = []
         self.parent: Node | None = None
+        self.depth = 0
 
     def add(self, child: Node) -> Node:
-        child.parent = self
+        child.parent, child.depth = self, self.depth + 1
         self.children.append(child)
         return child
 
@@ -185,7 +188,7 @@ class _Builder:
                 self.at = self.at.add(Node(ELEMENT, "tbody"))
             self.at = self.at.add(Node(ELEMENT, "tr"))
         node = self.at.add(Node(ELEMENT, tag, attrs))
-        if tag not in VOID:
+        if tag not in VOID and node.depth < MAX_DEPTH:
             self.at = node
 
     def end(self, tag: str) -> None:
