@@ -11,7 +11,7 @@ import math
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,12 @@ def targets_by_weight(sizes: dict[str | None, int], total: float, cap: float = 3
     return out
 
 
+def _per_source(spark: SparkSession, rows: list[tuple], kinds: str) -> DataFrame:
+    """A few numbers a source, to be joined by key; broadcast while they are at most 10,000 rows."""
+    out = spark.createDataFrame(rows, kinds)
+    return F.broadcast(out) if len(rows) <= 10_000 else out
+
+
 def solve_rates(histogram: DataFrame, target: dict[str, float], size: dict[str, float], mean: dict[str, float], cap: float, rounds: int = 60, tol: float = 1e-6) -> dict[str, float]:
     """The dual variable of each source from ``histogram(key, size, n)``; every round is one distributed sum for all sources.
 
@@ -58,7 +64,7 @@ def solve_rates(histogram: DataFrame, target: dict[str, float], size: dict[str,
     for _ in range(rounds):
         if done >= set(lam):
             break
-        now = spark.createDataFrame([(k, lam[k], mean[k]) for k in lam if k not in done], "key string, lam double, mean double")
+        now = _per_source(spark, [(k, lam[k], mean[k]) for k in lam if k not in done], "key string, lam double, mean double")
         x = F.col("size") / F.col("mean")
         free = F.exp(F.least(F.col("lam") * x, F.lit(60.0)))
         w = F.col("n") * F.col("size")
@@ -91,7 +97,7 @@ def fill(items: DataFrame, target: dict[str, float], start: float, width: float,
     spark = items.sparkSession
     low, got = dict.fromkeys(target, start), dict.fromkeys(target, 0.0)
     for _ in range(passes):
-        now = spark.createDataFrame([(k, low[k]) for k in target], "key string, low double")
+        now = _per_source(spark, [(k, low[k]) for k in target], "key string, low double")
         cell = F.greatest(F.floor((F.col("at") - F.col("low")) * (cells / width)), F.lit(-1))
         rows = items.join(now, "key").select("key", cell.alias("cell"), "size").where(f"cell < {cells}").groupBy("key", "cell").agg(F.sum("size")).collect()
         found: dict[str, dict[int, float]] = {k: {} for k in target}
@@ -130,7 +136,7 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     lam = solve_rates(histogram.where("size > 0"), target, size, mean, float(cap))
 
     rows = [(k, int(size[k]), target[k], float(lam.get(k, 0.0)), mean[k]) for k in size]
-    rated = sized.join(spark.createDataFrame(rows, "key string, source_size long, target double, lam double, mean double"), "key").withColumn(
+    rated = sized.join(_per_source(spark, rows, "key string, source_size long, target double, lam double, mean double"), "key").withColumn(
         "rate",
         F.when(F.col("lam") == math.inf, float(cap))
         .when(F.col("lam") == -math.inf, 0.0)
@@ -142,7 +148,7 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     levels = [{k: (low[k], math.inf) for k in size}]
     for _ in range(2):
         most = {k: max(0.0, target[k] - got[k]) for k in size}
-        prior = spark.createDataFrame([(k, levels[-1][k][0], most[k]) for k in size], "key string, before double, most double")
+        prior = _per_source(spark, [(k, levels[-1][k][0], most[k]) for k in size], "key string, before double, most double")
         short = items.join(prior, "key").where("at >= before and at < before + 0.25 and size <= most")
         more, added = fill(short, most, -1.0, float(cap) + 2)
         levels.append({k: (min(more[k], levels[-1][k][0] + 0.25), most[k]) for k in size})
@@ -155,7 +161,7 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
         return reduce(or_, [(at < F.col(f"to{j}")) & (F.col("size") <= F.col(f"most{j}")) for j in range(len(levels))]).cast("long")
 
     copies = F.when(F.col("size") == 0, 1).otherwise(reduce(add, map(taken, range(1, cap + 1)))).cast("long")
-    out = rated.join(spark.createDataFrame(bounds, kinds), "key").withColumn("copies", copies)
+    out = rated.join(_per_source(spark, bounds, kinds), "key").withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
