@@ -102,7 +102,7 @@ def walk_table(bodies: DataFrame, start: str, max_depth: int = 8, dedupe: bool =
     """The tree below ``start`` over ``bodies(url, body)``: ``(place, source, loc, lastmod, changefreq, priority)``, in the order of ``place``.
 
     Bodies are parsed once, in parallel. Levels are joined one by one, ``max_depth`` times at most; only children's addresses move. ``place``
-    is the path of positions, so that its order is the walk's. Maps that a path already holds are skipped; deeper ones raise when the result is read.
+    is the path of positions, so that its order is the walk's. Maps that a path already holds are skipped; a deeper one raises.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +124,11 @@ def walk_table(bodies: DataFrame, start: str, max_depth: int = 8, dedupe: bool =
         nxt = level.join(edges, level.url == edges.source).where(~F.array_contains("above", F.col("loc")))
         level = nxt.select(F.col("loc").alias("url"), F.concat("place", F.array("at")).alias("place"), F.concat("above", F.array("loc")).alias("above"))
         if depth == max_depth:
-            level = level.select(F.raise_error(F.concat(F.lit(f"deeper than {max_depth}: "), "url")).cast("string").alias("url"), "place", "above")
-        levels.append(level)
+            deepest = level.first()
+            if deepest is not None:
+                raise SitemapError(f"deeper than {max_depth}: {deepest.url}")
+        else:
+            levels.append(level)
     every = levels[0]
     for one in levels[1:]:
         every = every.unionByName(one)

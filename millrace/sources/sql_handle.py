@@ -56,9 +56,10 @@ class Queryable:
             return [dict(zip(names, r)) for r in cur.fetchall()]
         if dialect == "sql_exec":
             cur = db.execute(text, _params(params))
-            out = {"rowsAffected": max(cur.rowcount, 0)}
+            changes = verb(text) in ("insert", "update", "delete", "replace")
+            out = {"rowsAffected": db.execute("SELECT changes()").fetchone()[0] if changes else 0}
             if verb(text) in ("insert", "replace"):
-                out["lastInsertId"] = cur.lastrowid
+                out["lastInsertId"] = db.execute("SELECT last_insert_rowid()").fetchone()[0]
             return [out]
         raise ValueError(f"unknown dialect {dialect!r}")
 
