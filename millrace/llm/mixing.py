@@ -11,14 +11,16 @@ import math
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import word_count, written
 
-#: A null source is a source of its own; this joins it.
-_KEY = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+def _key() -> Column:
+    """A null source is a source of its own; this joins it."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
 
 
 def targets_by_weight(sizes: dict[str | None, int], total: float, cap: float = 3.0) -> dict[str | None, float]:
@@ -125,7 +127,7 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     """
     spark = docs.sparkSession
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11) / F.lit(float(1 << 53))).alias("u")
-    sized = written(docs.select("doc_id", _KEY.alias("key"), word_count(F.col("text")).alias("size"), u), "mix-sizes")
+    sized = written(docs.select("doc_id", _key().alias("key"), word_count(F.col("text")).alias("size"), u), "mix-sizes")
     histogram = written(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "mix-histogram")
     of = histogram.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("n")).collect()  # a row a source
     name = {k: None if k == "n" else k[1:] for k, _, _ in of}
