@@ -151,9 +151,9 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     for _ in range(2):
         most = {k: max(0.0, target[k] - got[k]) for k in size}
         prior = _per_source(spark, [(k, levels[-1][k][0], most[k]) for k in size], "key string, before double, most double")
-        short = items.join(prior, "key").where("at >= before and at < before + 0.25 and size <= most")
+        short = items.join(prior, "key").where("at >= before and size <= most")
         more, added = fill(short, most, -1.0, float(cap) + 2)
-        levels.append({k: (min(more[k], levels[-1][k][0] + 0.25), most[k]) for k in size})
+        levels.append({k: (more[k], most[k]) for k in size})
         got = {k: got[k] + added[k] for k in size}
     bounds = [(k, *[x for level in levels for x in level[k]]) for k in size]
     kinds = "key string, " + ", ".join(f"to{j} double, most{j} double" for j in range(len(levels)))
