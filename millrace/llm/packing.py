@@ -59,13 +59,8 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 4000) -> DataF
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     cluster = F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " ")))
-    item = docs.select(
-        "doc_id",
-        word_count(F.col("text")).alias("size"),
-        F.when(F.col("source").isNull(), -1).otherwise(F.pmod(F.xxhash64("source"), F.lit(SOURCE_BITS))).cast("int").alias("source_bit"),
-        cluster.alias("cluster"),
-        F.spark_partition_id().alias("from_part"),
-    )
+    source = F.when(F.col("source").isNull(), -1).otherwise(F.pmod(F.xxhash64("source"), F.lit(SOURCE_BITS))).cast("int")
+    item = docs.select("doc_id", word_count(F.col("text")).alias("size"), source.alias("source_bit"), cluster.alias("cluster"))
     shards = max(1, -(-docs.select(F.lit(1)).count() // shard_rows))
     spread = item.select(
         "doc_id", "size", "source_bit",
