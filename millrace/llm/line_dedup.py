@@ -1,7 +1,7 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame functions alone.
 
 A line is the set of its words. Words are ordered by rarity; two sets of Jaccard similarity 0.8 or more share a word within their
-prefixes, and differ little in length, in the position of that word and in a 64-bit parity of their words. What passes
+prefixes, and differ little in length, in the position of that word and in a 128-bit parity of their words. What passes
 these filters is verified on the words themselves, and the later line goes.
 """
 
@@ -21,100 +21,148 @@ _LOW = (1 << 43) - 1
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, _BLANK), lambda w: w != "")
+def _words(line: Column) -> Column:
+    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _BLANK)
 
 
 def _cell(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - CELLS_LOG).cast("int")
 
 
-def _identity(docs: DataFrame) -> DataFrame:
-    """``docs`` as ``(no_id, did, th, lines)``: rows of one id and text are one document; a null id comes last and goes by its text."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """``(no_id, did, th, text)``: rows of one id and text are one document; a null id comes last and goes by its text."""
     th = F.xxhash64(F.coalesce("text", F.lit("")))
     return docs.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), th).alias("did"), th.alias("th"), "text")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Every line with a word: ``(h1, h2, o, th, line)``, ``o`` its place in the order of all lines."""
-    rows = _identity(docs).select("no_id", "did", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
-    return rows.select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.struct("no_id", "did", "line_no").alias("o"), "th", "line")
+    """Every line with a word, by hashes of its text: ``(h1, h2, no_id, did, line_no, th)``."""
+    rows = _rows(docs).select("no_id", "did", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
+    return rows.select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "no_id", "did", "line_no", "th")
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Ranks of word cells by count over all texts, as a scalar subquery of one array of fixed size."""
-    h = F.xxhash64("word")
-    counts = docs.select(F.explode(F.split("text", _BLANK)).alias("word")).where("word <> ''").groupBy(_cell(h).alias("cell")).agg(F.count("*").alias("n"))
+    """Ranks of word cells by count over all texts, in the upper bits, as a scalar subquery of one array of fixed size."""
+    counts = docs.select(F.explode(F.split("text", _BLANK)).alias("word")).groupBy(_cell(F.xxhash64("word")).alias("cell")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(1 << CELLS_LOG).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n"))
-    full = counts.unionByName(every).groupBy("cell").agg(F.floor(F.log2(F.sum("n") + 1) * 16384).cast("int").alias("rank"))
+    rank = F.shiftleft(F.floor(F.log2(F.sum("n") + 1) * 16384).cast("long"), 43)
+    full = counts.unionByName(every).groupBy("cell").agg(rank.alias("rank"))
     return full.agg(F.sort_array(F.collect_list(F.struct("cell", "rank"))).alias("a")).select(F.col("a.rank")).scalar()
 
 
-def _entries(classes: DataFrame, ranks: Column) -> DataFrame:
-    """A row for each prefix word of each distinct line: ``(key, pos, n, sig, h1, h2, o)``."""
-    with_ranks = classes.select("h1", "h2", "o", "line", ranks.alias("ranks"))
-    keys = F.sort_array(
-        F.array_distinct(
-            F.transform(
-                _words(F.col("line")),
-                lambda w: F.shiftleft(F.get(F.col("ranks"), _cell(F.xxhash64(w))).cast("long"), 43).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_LOW))),
-            )
-        )
-    )
+def _at_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The lines of ``docs`` at written ``places(no_id, did, th, line_nos)``, a row a document: ``(no_id, did, line_no, line)``.
+
+    The places are broadcast while they take at most 64 MB; beyond, both sides are shuffled.
+    """
+    size = places.select(F.sum(F.size("line_nos") * 8 + 64)).first()[0] or 0
+    found = _rows(docs).join(F.broadcast(places) if size <= 64 << 20 else places, ["no_id", "did", "th"])
+    lines = F.split("text", "\n")
+    pick = F.transform("line_nos", lambda k: F.struct(k.alias("line_no"), F.get(F.col("lines"), k).alias("line")))
+    return found.select("no_id", "did", F.explode(F.array(lines)).alias("lines"), "line_nos").select("no_id", "did", F.inline(pick))
+
+
+def _entries(lines: DataFrame, ranks: Column) -> DataFrame:
+    """A row for each prefix word of each distinct line: ``(key, pos, n, sig, sig2, no_id, did, line_no)``."""
+    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
+    keyed = F.transform(F.array_distinct(hashes), lambda h: F.get(F.col("ranks"), _cell(h)).bitwiseXOR(F.shiftrightunsigned(h, 21)))
+    # two projections that become one: the ranks stay a reference within the expression and are no column of any row
+    sets = lines.select("no_id", "did", "line_no", "line", ranks.alias("ranks")).select("no_id", "did", "line_no", F.sort_array(keyed).alias("keys"))
 
     def described(k: Column) -> Column:
         n = F.size(k)
-        parity = F.aggregate(k, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-        return F.struct(n.alias("n"), parity.alias("sig"), F.slice(k, F.lit(1), n - F.floor((n * 4 + 4) / 5).cast("int") + 1).alias("prefix"))
+        one = F.lit(1).cast("long")
+
+
+        def parity(of: Column) -> Column:
+            return F.aggregate(of, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
 
-    one = with_ranks.select("h1", "h2", "o", F.inline(F.transform(F.array(keys), described)))
-    return one.select("h1", "h2", "o", "n", "sig", F.posexplode("prefix").alias("pos", "key"))
+        low = parity(F.filter(k, lambda x: x.bitwiseAND(F.lit(64)) == 0))
+        high = parity(F.filter(k, lambda x: x.bitwiseAND(F.lit(64)) != 0))
+        return F.struct(n.alias("n"), low.alias("sig"), high.alias("sig2"), F.slice(k, F.lit(1), n - F.floor((n * 4 + 4) / 5).cast("int") + 1).alias("prefix"))
+
+    one = sets.select("no_id", "did", "line_no", F.inline(F.transform(F.array("keys"), described)))
+    # the condition is what the join adds, so that all uses share one exchange
+    return one.select("no_id", "did", "line_no", "n", "sig", "sig2", F.posexplode("prefix").alias("pos", "key")).where("key is not null")
 
 
 def _may_match(a: str, b: str) -> Column:
     """Length, positional and parity filters of two entries that share a prefix word."""
-    col = lambda side, name: F.col(f"{side}.{name}")
+    col = lambda side, name: F.col(f"{side}{name}")
     n, m, i, j = col(a, "n"), col(b, "n"), col(a, "pos"), col(b, "pos")
     total = n + m
     reach = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
     differ = total - 2 * F.floor((total * 4 + 8) / 9)
-    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (reach * 9 >= total * 4) & (F.bit_count(col(a, "sig").bitwiseXOR(col(b, "sig"))) <= differ)
+    unlike = F.bit_count(col(a, "sig").bitwiseXOR(col(b, "sig"))) + F.bit_count(col(a, "sig2").bitwiseXOR(col(b, "sig2")))
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (reach * 9 >= total * 4) & (unlike <= differ)
+
+
+_PLACE = ("no_id", "did", "line_no")
+
+
+def _ends(later: str, earlier: str) -> list[Column]:
+    return [F.col(f"{side}{c}").alias(f"{to}_{c}") for side, to in ((later, "x"), (earlier, "c")) for c in _PLACE]
+
+
+def _order(side: str) -> Column:
+    return F.struct(*[F.col(f"{side}{c}") for c in _PLACE])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (``x1, x2`` later, ``c1, c2`` earlier) whose word sets have a Jaccard similarity of 0.8 or more, with the verdict ``same``."""
-    own = lambda a, b, name: classes.select(F.col("h1").alias(a), F.col("h2").alias(b), F.array_distinct(_words(F.col("line"))).alias(name))
-    full = pairs.join(own("x1", "x2", "xw"), ["x1", "x2"]).join(own("c1", "c2", "cw"), ["c1", "c2"])
-    return full.select("x1", "x2", (F.size(F.array_intersect("xw", "cw")) * 9 >= (F.size("xw") + F.size("cw")) * 4).alias("same"))
+def _verified(docs: DataFrame, pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Written ``pairs`` (``x_...`` later, ``c_...`` earlier) with ``same``: whether the word sets have a Jaccard similarity of 0.8 or more."""
+    ends = [pairs.select(*[F.col(f"{to}_{c}").alias(c) for c in _PLACE]) for to in ("x", "c")]
+    wanted = ends[0].unionByName(ends[1]).distinct().join(ids, list(_PLACE))
+    places = written(wanted.groupBy("no_id", "did", "th").agg(F.collect_list("line_no").alias("line_nos")), "line-places")
+    # lines, which compress, are moved rather than their words; repeated rows give the same line, of which max takes one
+    lines = _at_lines(docs, places).groupBy(*_PLACE).agg(F.max("line").alias("line"))
+    x = lines.select(*[F.col(c).alias(f"x_{c}") for c in _PLACE], F.col("line").alias("xl"))
+    c = lines.select(*[F.col(c).alias(f"c_{c}") for c in _PLACE], F.col("line").alias("cl"))
+    full = pairs.join(x, [f"x_{k}" for k in _PLACE]).join(c, [f"c_{k}" for k in _PLACE])
+    sets = full.select(*pairs.columns, F.array_distinct(_words(F.col("xl"))).alias("xw"), F.array_distinct(_words(F.col("cl"))).alias("cw"))
+    same = F.size(F.array_intersect("xw", "cw")) * 9 >= (F.size("xw") + F.size("cw")) * 4
+    return sets.select(*pairs.columns, same.alias("same"))
 
 
 def dropped_classes(docs: DataFrame) -> DataFrame:
-    """``(h1, h2, o, near)`` of the distinct lines that occur twice or have an earlier similar line (``near``); ``o`` is the first place.
+    """``(h1, h2, no_id, did, line_no, near)`` of the distinct lines that occur twice or have an earlier similar line (``near``), with their first place.
 
-    Within the lines that share a prefix word, each is first held against the earliest one; pairs of lines that both look like that
-    one are left to it. Lines for which it then proves too different are held against every line of their words, so
-    that crowds of near copies aren't compared pair by pair and no match is missed.
+    Within the lines of one size that share a prefix word, each is first compared with the earliest one; a line that looks like one or more
+    such is held against the first of them only, others against all earlier lines that pass the filters. Lines for which the comparison then fails are held
+    against every line of their words, too, so that crowds of near copies aren't compared pair by pair and no match is missed.
     """
-    classes = _lines(docs).groupBy("h1", "h2").agg(F.min("o").alias("o"), F.first("line").alias("line"), F.count("*").alias("times"))
-    entries = _entries(classes, rarity(docs))
-    first = F.first(F.struct("n", "pos", "sig", "o", "h1", "h2")).over(Window.partitionBy("key").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    led = entries.select("*", first.alias("lead"))
-    led = led.withColumn("is_lead", F.col("o") == F.col("lead.o")).alias("e")
-    led = led.select("e.*", (F.col("is_lead") | _may_match("e", "lead")).alias("near"))
-    starred = led.where("near and not is_lead").select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("lead.h1").alias("c1"), F.col("lead.h2").alias("c2")).distinct()
-    star = _verified(starred, classes).groupBy("x1", "x2").agg(F.max("same").alias("same"))
-    slim = led.select("key", "o", "n", "pos", "sig", "h1", "h2", "near")
-    a, b = slim.alias("a"), slim.alias("b")
-    name = [F.col(f"{s}.h{k}").alias(f"{t}{k}") for s, t in (("b", "x"), ("a", "c")) for k in (1, 2)]
-    later = (F.col("a.key") == F.col("b.key")) & (F.col("a.o") < F.col("b.o"))
-    rest = a.join(b, later & _may_match("a", "b") & ~(F.col("a.near") & F.col("b.near"))).select(*name).distinct()
-    # those that only seemed like the earliest line
-    open_ = star.where("not same").select(F.col("x1").alias("h1"), F.col("x2").alias("h2"))
-    again = _entries(classes.join(open_, ["h1", "h2"], "left_semi"), rarity(docs)).alias("b")
-    last = entries.alias("a").join(again, later & _may_match("a", "b")).select(*name).distinct()
-    found = star.unionByName(_verified(rest.unionByName(last).distinct(), classes)).where("same").select(F.col("x1").alias("h1"), F.col("x2").alias("h2")).distinct()
-    near = found.withColumn("near", F.lit(True))
-    return classes.select("h1", "h2", "o", "times").join(near, ["h1", "h2"], "left").where("times > 1 or near").select("h1", "h2", "o", F.coalesce("near", F.lit(False)).alias("near"))
+    place = F.min(F.struct(*_PLACE, "th"))
+    first = _lines(docs).groupBy("h1", "h2").agg(place.alias("o"), F.count("*").alias("times"))
+    classes = written(first.select("h1", "h2", "o.*", "times"), "line-classes")
+    ids = classes.select(*_PLACE, "th")
+    reps = written(ids.groupBy("no_id", "did", "th").agg(F.collect_list("line_no").alias("line_nos")), "line-firsts")
+    base = _entries(_at_lines(docs, reps), rarity(docs))
+    entries = base.repartition("key")
+    lead = F.first(F.struct("n", "pos", "sig", "sig2", *_PLACE)).over(Window.partitionBy("key", "n").orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    led = entries.select("*", lead.alias("lead")).withColumn("is_lead", _order("") == _order("lead."))
+    led = led.withColumn("near", ~F.col("is_lead") & _may_match("", "lead."))
+    # both sides come from one plan, so that they share its exchange
+    led = led.select("key", "n", "pos", "sig", "sig2", *_PLACE, "is_lead", "near", _order("lead.").alias("lead"))
+    a, b = led.alias("a"), led.alias("b")
+    other = (F.col("a.key") == F.col("b.key")) & (_order("a.") < _order("b.")) & _may_match("a.", "b.")
+    wanted = ~F.col("b.near") | (F.col("a.is_lead") & (_order("a.") == F.col("b.lead")))
+    pairs = a.join(b, other & wanted).select(*_ends("b.", "a."), F.col("b.near").alias("star"))
+    pairs = pairs.groupBy(*[f"{t}_{c}" for t in ("x", "c") for c in _PLACE]).agg(F.max("star").alias("star"))
+    pairs, x = written(pairs, "line-pairs"), [f"x_{c}" for c in _PLACE]
+    one = pairs.where("star").groupBy(*x).agg(F.min(F.struct(*[f"c_{c}" for c in _PLACE])).alias("c")).select(*x, "c.*", F.lit(True).alias("star"))
+    chosen = written(one.unionByName(pairs.where("not star").join(one, x, "left_anti")), "line-chosen")
+    held = written(_verified(docs, chosen, ids), "line-verified")
+    by_x = held.groupBy(*[F.col(f"x_{c}").alias(c) for c in _PLACE]).agg(F.max("same").alias("same"), F.max("star").alias("star"))
+    near = by_x.where("same").select(*_PLACE)
+    open_ = written(by_x.where("star and not same").select(*_PLACE), "line-open")
+    if not open_.isEmpty():
+        again = written(_entries(_at_lines(docs, written(open_.join(ids, list(_PLACE)).groupBy("no_id", "did", "th").agg(F.collect_list("line_no").alias("line_nos")), "line-again")), rarity(docs)), "line-again-entries")
+        small = again.count() <= 1_000_000
+        b = (F.broadcast(again) if small else again).alias("b")
+        last = base.alias("a").join(b, other).select(*_ends("b.", "a.")).distinct()
+        near = near.unionByName(_verified(docs, written(last, "line-pairs"), ids).where("same").select(*[F.col(f"x_{c}").alias(c) for c in _PLACE])).distinct()
+    near = near.withColumn("near", F.lit(True))
+    out = classes.join(near, list(_PLACE), "left").where("times > 1 or near")
+    return out.select("h1", "h2", *_PLACE, F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -125,13 +173,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     are one document and stay alike; null doc_ids come last. Texts may be of any length. An empty table gives an empty one. Other
     columns pass through; ``docs`` must not have the two new names.
     """
-    drop = written(dropped_classes(docs), "line-classes")
-    at = _lines(docs).select("h1", "h2", "o", "th")
-    gone = at.join(drop.withColumnRenamed("o", "first"), ["h1", "h2"]).where(F.col("near") | (F.col("o") != F.col("first")))
-    by_doc = gone.groupBy(F.col("o.no_id").alias("g_no_id"), F.col("o.did").alias("g_did"), F.col("th").alias("g_th")).agg(F.collect_set("o.line_no").alias("g_lines"))
+    drop = written(dropped_classes(docs).select("h1", "h2", _order("").alias("first"), "near"), "line-drops")
+    gone = _lines(docs).join(drop, ["h1", "h2"]).where(F.col("near") | (_order("") != F.col("first")))
+    by_doc = written(gone.groupBy(F.col("no_id").alias("g_no_id"), F.col("did").alias("g_did"), F.col("th").alias("g_th")).agg(F.collect_set("line_no").alias("g_lines")), "line-gone")
+    size = by_doc.select(F.sum(F.size("g_lines") * 8 + 64)).first()[0] or 0
     th = F.xxhash64(F.coalesce("text", F.lit("")))
     same = (F.col("doc_id").isNull() == F.col("g_no_id")) & (F.coalesce(F.col("doc_id").cast("long"), th) == F.col("g_did")) & (th == F.col("g_th"))
-    joined = docs.join(by_doc, same, "left")
+    joined = docs.join(F.broadcast(by_doc) if size <= 64 << 20 else by_doc, same, "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("g_lines"), i)), "\n")
     out = joined.withColumns({"n_lines": F.coalesce(F.size(F.when(F.col("text").isNotNull(), lines)), F.lit(0)), "n_removed": F.coalesce(F.size(F.col("g_lines")), F.lit(0))})
