@@ -1,7 +1,7 @@
 """License notices by conditional compression: a block of text shrinks most under the dictionary of the template it was made from.
 
-Blocks are candidates by their words; each is compressed with every template as a raw zstandard dictionary, templates are ranked by what
-they save, and the best are confirmed by the exact differences in wording.
+Texts are candidates by their words; templates of which a text has enough words are aligned with it, and the exact differences in wording
+decide. The stretch found is compressed with the templates as raw zstandard dictionaries, and what they save ranks them.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -46,7 +47,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
 ]
-#: Words of which a candidate block has at least one; every template does.
+#: Words of which a candidate text has at least one; every template does.
 CUE = r"(?i)licen[sc]|permission is|permission to|redistribut|public domain|\bspdx\b|free software"
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-+/][a-z0-9]+)*", re.I)
@@ -80,76 +81,58 @@ def savings(block: str) -> list[tuple[float, int]]:
     return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
+def alignments(template: list[str], text: list[str], most: int) -> list[tuple[int, int, int]]:
+    """``(differing words, begin, end)`` of the stretches of ``text`` that ``template`` turns into with at most ``most`` words inserted, dropped
+    or changed: the best stretch for each end, the least differing first."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(template))}
+    own = np.fromiter((number.get(w, -1) for w in text), dtype=np.int64, count=len(text))
+    # cost and begin in one number, so that the least cost with the first begin is the least number
+    one, at = np.int64(1 << 32), np.arange(len(text) + 1, dtype=np.int64)
+    costs, row = at * one, at
+    for w in template:
+        now = row + one
+        np.minimum(now[1:], row[:-1] + (own != number[w]) * one, out=now[1:])
+        row = np.minimum.accumulate(now - costs) + costs
+    return sorted((int(v >> 32), int(v & 0xFFFFFFFF), int(j)) for j, v in enumerate(row.tolist()) if v >> 32 <= most) if (row >> 32).min() <= most else []
+
+
 def differences(template: list[str], text: list[str]) -> tuple[int, int, int]:
     """Least number of words to insert, drop or change between ``template`` and a stretch of ``text``, and where that stretch begins and ends."""
-    before = [(0, j) for j in range(len(text) + 1)]
-    for i, w in enumerate(template, 1):
-        now = [(i, 0)]
-        for j, v in enumerate(text, 1):
-            now.append(min((before[j - 1][0] + (w != v), before[j - 1][1]), (before[j][0] + 1, before[j][1]), (now[j - 1][0] + 1, now[j - 1][1])))
-        before = now
-    end = min(range(len(before)), key=lambda j: (before[j][0], j))
-    return before[end][0], before[end][1], end
-
-
-def blocks(text: str, before: int = 1, after: int = 6) -> Iterator[tuple[int, int, str]]:
-    """``(first line, end line, text)`` around lines with a cue; stretches that touch are one block, so that wrapped notices stay whole."""
-    if not _CUE.search(text):
-        return
-    lines = text.split("\n")
-    at = [k for k, x in enumerate(lines) if _CUE.search(x)]
-    first = end = None
-    for k in at:
-        a, b = max(0, k - before), min(len(lines), k + after + 1)
-        if first is not None and a <= end:
-            end = b
-        else:
-            if first is not None:
-                yield first, end, "\n".join(lines[first:end])
-            first, end = a, b
-    yield first, end, "\n".join(lines[first:end])
-
-
-def windows(block: str) -> Iterator[str]:
-    """The stretches of a block that could be a notice: each sentence or line with a cue, and from each such line on as long as the longest template."""
-    longest = max(len(t[2]) for t in _templates()) + 12
-    lines = block.split("\n")
-    for k, line in enumerate(lines):
-        hit = _CUE.search(line)
-        if not hit:
-            continue
-        for m in _CUE.finditer(line):
-            start, end = line.rfind(". ", 0, m.start()), line.find(". ", m.end())
-            yield line[start + 2 if start >= 0 else 0 : end + 1 if end >= 0 else len(line)]
-        tail, n = [], 0
-        for more in lines[k:]:
-            tail.append(more)
-            n += len(more.split())
-            if n >= longest:
-                break
-        if len(tail) > 1 or n > 20:
-            yield " ".join("\n".join(tail).split()[:longest])
+    best = alignments(template, text, len(template))
+    return min(best, key=lambda x: (x[0], x[2]))
+
 
+def scan(text: str, most_different: float = 0.15) -> list[tuple[str, float, int, int, str]]:
+    """``(license, saving, differing words, first line, text found)`` of each license found in ``text``, once a license, the best match of each.
 
-def scan(text: str, least_saving: float = 0.2, most_different: float = 0.15, finalists: int = 3) -> list[tuple[str, float, int, int, str]]:
-    """``(license, saving, differing words, first line, text found)`` of each license found in ``text``, once a license, the best match of each."""
+    A template is aligned with the whole text wherever the text has enough of its words, so that neither the sentence or line around a notice nor
+    where its lines break matters. The wording decides; what the template saves of the stretch found ranks equal wordings.
+    """
     found: dict[str, tuple[str, float, int, int, str]] = {}
-    for first, _, block in blocks(text):
-        for m in _SPDX.finditer(block):
-            found.setdefault(m[1], (m[1], 1.0, 0, first, m[0]))
-        for piece in dict.fromkeys(windows(block)):
-            own = words(piece)
-            for saving, k in savings(piece)[:finalists]:
-                name, _, wanted, _ = _templates()[k]
-                if saving < least_saving or len(own) * 2 < len(wanted):
-                    continue
-                wrong, a, b = differences(wanted, own)
-                have = Counter(own[a:b])
-                telling = all(have[w] >= n for w, n in Counter(w for w in wanted if _TELLING.search(w)).items()) and not any(_TELLING.search(w) and w not in wanted for w in own[a:b])
-                if wrong <= max(1, most_different * len(wanted)) and telling:
-                    old = found.get(name)
-                    if old is None or (wrong, -saving) < (old[2], -old[1]):
-                        found[name] = (name, round(saving, 6), wrong, first, " ".join(own[a:b]))
+    if not _CUE.search(text):
+        return []
+    line_of = lambda at: text.count("\n", 0, at)
+    for m in _SPDX.finditer(text):
+        found.setdefault(m[1], (m[1], 1.0, 0, line_of(m.start()), m[0]))
+    places = [(m[0].lower(), m.start()) for m in _WORD.finditer(text)]
+    own = [w for w, _ in places]
+    there = Counter(own)
+    for k, (name, _, wanted, _) in enumerate(_templates()):
+        most = int(max(1, most_different * len(wanted)))
+        needed = Counter(wanted)
+        telling = {w: n for w, n in needed.items() if _TELLING.search(w)}
+        # bounds, not guesses: a stretch that passes has all telling words, and all but ``most`` of the others
+        if any(there[w] < n for w, n in telling.items()) or sum(min(n, there[w]) for w, n in needed.items()) < len(wanted) - most:
+            continue
+        for wrong, a, b in alignments(wanted, own, most):
+            have = Counter(own[a:b])
+            if all(have[w] >= n for w, n in telling.items()) and not any(_TELLING.search(w) and w not in needed for w in have):
+                stretch = " ".join(own[a:b])
+                saving = next(x for x, j in savings(stretch) if j == k)
+                old = found.get(name)
+                if old is None or (wrong, -saving) < (old[2], -old[1]):
+                    found[name] = (name, round(saving, 6), wrong, line_of(places[a][1]), stretch)
+                break
     return sorted(found.values(), key=lambda x: (x[3], x[0]))
 
 

@@ -406,6 +406,25 @@ def test_license_parts(spark):
     assert license_scan.scan_licenses(docs_table(spark, EMPTY)).count() == 0
 
 
+GRANT = dict((name, text) for name, text in license_scan.TEMPLATES if name in ("MIT", "ISC"))
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("All photographs, maps and tables on this page are licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("The little program that draws the tide tables for the harbour and the river is released under the MIT License.", ["MIT"]),
+        ("a line of other words " * 40 + "this work is licensed under\nCC BY-SA 4.0\n" + "and many more lines\n" * 30, ["CC-BY-SA-4.0"]),
+        ("\n".join(GRANT["MIT"].split()), ["MIT"]),
+        ("word " * 300 + GRANT["ISC"] + " word" * 300, ["ISC"]),
+        ("Licensed under the Apache License, Version 3.0. Licensed under this Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("All photographs on this page are licensed to us by 4 agencies under terms of 2019.", []),
+    ],
+)
+def test_notices_inside_other_text(text, wanted):
+    assert [x[0] for x in license_scan.scan(text)] == wanted
+
+
 # --- queries with SQL ---
 
 
