@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts use it; words are the runs of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Columns of ``with_row`` that tell documents apart.
+ROW = ("no_id", "did", "th")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``no_id``, ``did`` and ``th``: rows of one id and one text are one document; a null id comes last and goes by its text."""
+    return docs.withColumns({"no_id": F.col("doc_id").isNull(), "did": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "th": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
+def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """``docs`` with one row of each ``root`` of ``rooted(no_id, did, th, root)``: that of the smallest doc_id, nulls last, then of the smallest text hash."""
+    first = rooted.groupBy("root").agg(F.min(F.struct(*ROW)).alias("o")).select("o.*")
+    return with_row(docs).join(first, list(ROW), "left_semi").dropDuplicates(list(ROW)).select(*docs.columns)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import keep_first, with_row, written
 from millrace.llm.components import connected_components
 
 BITS, SKETCH = 64, 1 << 16
@@ -201,6 +201,14 @@ def links(fps: DataFrame, tau: int = 2, parts: int = 3, dense: int = 64) -> Data
     return normal.unionByName(crowded)
 
 
+def _rooted(of: DataFrame) -> DataFrame:
+    """``(fp, least, root)`` of each distinct fingerprint of ``of(doc_id, fp, ...)``; ``root`` is a fingerprint of its component."""
+    fps = written(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = connected_components(links(fps))
+    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return written(rooted, "rooted")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row of ``docs(doc_id, text, ...)``.
 
@@ -209,21 +217,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stay repeated. Other columns are ignored. An empty table gives an empty one.
     """
     of = written(fingerprints(docs), "fingerprints")
-    fps = written(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(links(fps))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = written(rooted, "rooted")
+    named = _rooted(of)
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(names, "root").select("fp", "component_id")
     return of.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id (of repeated rows of that id, one).
+    """``docs`` with one row of each component: that of the smallest doc_id, nulls last, then of the smallest text hash.
 
-    Rows with a null doc_id stay only where their component has no other id; then one of them stays.
+    Components are told apart by their fingerprints, not by ids: different texts under one id, or under none, each stay.
     """
-    found = near_duplicates(docs)
-    least = found.groupBy("component_id").agg(F.count("*").alias("size")).select(F.col("component_id").alias("keep"))
-    kept = docs.join(least.where("keep is not null"), docs.doc_id == F.col("keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null").limit(1).join(least.where("keep is null"), F.lit(True), "left_semi"))
+    rows = with_row(docs.select("doc_id", "text"))
+    prints = fingerprints(rows.select(F.struct("no_id", "did", "th").alias("doc_id"), "text"))
+    of = written(prints, "fingerprints")
+    by_fp = of.join(_rooted(of), "fp").select("doc_id.*", "root")
+    return keep_first(docs, by_fp)

@@ -310,6 +310,15 @@ def test_simhash(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(wanted.values()))
 
 
+def test_keep_one_keeps_each_component(spark):
+    r = random.Random(4)
+    text = lambda: " ".join(r.choice("abcdefghij") + str(r.randint(0, 99)) for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a, "en", "s"), (None, b, "en", "s"), (None, c, "en", "s"), (7, c, "en", "s"), (8, d, "en", "s"), (8, e, "en", "s"), (8, e, "en", "s")]
+    kept = simhash.keep_one(docs_table(spark, rows)).collect()
+    assert sorted((str(x.doc_id), x.text) for x in kept) == sorted([("None", a), ("None", b), ("7", c), ("8", d), ("8", e)])
+
+
 @pytest.mark.parametrize("dense", [0, 8, 64])
 def test_links_lose_nothing(spark, dense):
     r = random.Random(dense)
