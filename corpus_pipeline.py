@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, line_dedup, mixing, packing, simhash
+from millrace.llm import langid, line_dedup, mixing, near_copies, packing
 from millrace.llm.common import scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,8 +27,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: that of the smallest doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: Language models, SimHash components and Newton's iterations have no SQL form; the stages are tested against brute force.
+#: Language models, components of near copies and Newton's iterations have no SQL form; the stages are tested against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 import zstandard
 
-from millrace.llm import ann, components, html_extract, html_train, langid, license_scan, line_dedup, mixing, packing, queries, simhash, topk, warc
+from millrace.llm import ann, components, html_extract, html_train, langid, license_scan, line_dedup, mixing, near_copies, packing, queries, simhash, topk, warc
 
 SF = "/root/testdata/sf0.01"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -341,6 +341,61 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
 
 
+def near_rows(seed):
+    """Chains, a crowd and borders of near copies, besides exact ones, empty ones, null and repeated ids."""
+    r = random.Random(seed)
+    word = lambda: r.choice("abcdefghij") + str(r.randint(0, 99))
+    texts = ["", "a b", "A  b", "a b c"]
+    for n in (12, 40, 90, 200):
+        for _ in range(3):
+            base = [word() for _ in range(n)]
+            texts += [" ".join(base), " ".join(base).upper()]
+            for _ in range(14):
+                if r.random() < 0.5:
+                    base = list(base)
+                w = list(base)
+                for _ in range(r.randint(1, max(1, n // 30))):
+                    w[r.randrange(n)] = word()
+                texts.append(" ".join(w))
+                base = w if r.random() < 0.5 else base
+    passage = " ".join(word() for _ in range(30))
+    texts += [" ".join([passage, *(word() for _ in range(20))]) for _ in range(30)]
+    r.shuffle(texts)
+    return [(i if i % 9 else None, t, "en", "s") for i, t in enumerate(texts)] + [(1, texts[1], "en", "s"), (1, "another text altogether", "en", "s")]
+
+
+def brute_near(texts):
+    sets = {}
+    for t in set(texts):
+        w = t.lower().split()
+        sets[t] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {t: t for t in sets}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for a, b in itertools.combinations(sets, 2):
+        x, y = sets[a], sets[b]
+        if 9 * len(x & y) >= 4 * (len(x) + len(y)):
+            root[find(a)] = find(b)
+    return {t: find(t) for t in sets}
+
+
+@pytest.mark.parametrize(("seed", "rounds"), [(0, 2), (1, 0)])
+def test_near_copies_against_brute_force(spark, seed, rounds):
+    rows = near_rows(seed)
+    docs, wanted = docs_table(spark, rows), brute_near([x[1] for x in rows])
+    rooted = near_copies.with_row(docs).join(near_copies.near_copies(docs, rounds), list(near_copies.ROW)).select("text", "root").distinct().collect()
+    of = {x.text: x.root for x in rooted}
+    assert set(of) == set(wanted) and len(rooted) == len(of)
+    assert len({(of[t], wanted[t]) for t in of}) == len(set(of.values())) == len(set(wanted.values())) < len(of)
+    kept = [wanted[x.text] for x in near_copies.keep_one(docs).collect()]
+    assert len(kept) == len(set(kept)) == len(set(wanted.values()))
+    assert near_copies.keep_one(docs_table(spark, EMPTY)).count() == 0
+
+
 # --- 9 ---
 
 

@@ -50,3 +50,8 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     docs, rows, _ = small(spark)
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert {x[0] for x in rows[:90]} <= got and 100 not in got
+
+
+def test_near_dedup_drops_near_copies(spark):
+    docs, rows, _ = small(spark)
+    assert 101 not in {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
