@@ -115,20 +115,21 @@ def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
 def _similar(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the written distinct ``pairs(a, b)`` whose whole sets are similar."""
     needed = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    places = written(firsts.join(needed, "cid").select(*ROW), "near-places")
+    places = written(firsts.join(needed, "cid"), "near-places")
     small = places.count() <= 1_000_000
-    found = rows.join(F.broadcast(places) if small else places, list(ROW), "left_semi")
+    # texts, which compress, are moved rather than their sets
+    texts = rows.join(F.broadcast(places) if small else places, list(ROW)).groupBy("cid").agg(F.max("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(3).to_pylist()]
-            flat = pa.array(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64))
-            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([_identity(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["cid", "set"])
-
-    sets = written(found.mapInArrow(run, "cid long, set array<long>"), "near-sets").groupBy("cid").agg(F.first("set").alias("set"))
-    full = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
-    return full.where(F.size(F.array_intersect("sa", "sb")) * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("a", "b")
+            same = []
+            for t, u in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = shingles(t), shingles(u)
+                same.append(len(np.intersect1d(x, y, assume_unique=True)) * (NUM + DEN) >= (len(x) + len(y)) * NUM)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    full = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
+    return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame, rounds: int = 2) -> DataFrame:

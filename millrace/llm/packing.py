@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import word_count
+from millrace.llm.common import ROW, with_row, word_count, written
+from millrace.llm.near_copies import near_copies
 
 #: Bits of a bin's bitmaps. Ids share bits by hash, which may only keep two items apart that could lie together.
 SOURCE_BITS, CLUSTER_BITS = 256, 1024
@@ -54,18 +55,18 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 4000) -> DataF
     Every word of every document lies in exactly one piece. A document over ``capacity`` words is cut into full pieces, each
     a bin of its own, and a rest; documents without words (null, empty) are one piece of 0 words. A bin holds at
     most ``capacity`` words, at most one piece of a source (null sources don't conflict) and at most one of a duplicate
-    cluster (equal lower-cased words). Rows are dealt by hash into shards of about ``shard_rows``, packed on their own; a bin is
+    cluster (a component of near copies: five-word shingles, similarity 0.8 or more). Rows are dealt by hash into shards of about ``shard_rows``, packed on their own; a bin is
     ``shard-number``. Repeated rows are packed each for itself. Empty table: empty result. Other columns are ignored.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    cluster = F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " ")))
+    roots = written(near_copies(docs).distinct(), "packing-clusters")
     source = F.when(F.col("source").isNull(), -1).otherwise(F.pmod(F.xxhash64("source"), F.lit(SOURCE_BITS))).cast("int")
-    item = docs.select("doc_id", word_count(F.col("text")).alias("size"), source.alias("source_bit"), cluster.alias("cluster"))
+    rows = with_row(docs).select("doc_id", *ROW, word_count(F.col("text")).alias("size"), source.alias("source_bit"))
+    item = rows.join(roots, list(ROW)).select("doc_id", "th", "size", "source_bit", F.xxhash64("root").alias("cluster"))
     shards = max(1, -(-docs.select(F.lit(1)).count() // shard_rows))
     spread = item.select(
         "doc_id", "size", "source_bit",
         F.pmod(F.col("cluster"), F.lit(CLUSTER_BITS)).cast("int").alias("cluster_bit"),
-        F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "th"), F.lit(shards)).cast("int").alias("shard"),
     )
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -442,6 +442,14 @@ def test_packing(spark):
     assert packing.pack(docs_table(spark, EMPTY)).count() == 0
 
 
+def test_packing_keeps_near_copies_apart(spark):
+    r = random.Random(2)
+    base = [f"w{r.randint(0, 999)}" for _ in range(60)]
+    rows = [(i, " ".join([*base[: 3 * i], f"other{i}", *base[3 * i + 1 :]]), "en", f"s{i}") for i in range(1, 11)] + [(0, " ".join(base), "en", "s0")]
+    got = packing.pack(docs_table(spark, rows)).collect()
+    assert len(got) == 11 and len({x.bin_id for x in got}) == 11
+
+
 # --- 10 ---
 
 
