@@ -233,6 +233,19 @@ def test_nearest(spark):
     assert ann.search(table.where("false")).count() == 0 and ann.search(table.where("vec_id = 1100")).count() == 0
 
 
+def test_nearest_in_a_crowd_of_copies(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(500, 16)).astype(np.float32)
+    x[100:400] = x[0]
+    x[400:420] = x[0] + (r.normal(size=(20, 16)) * 0.01).astype(np.float32)
+    order = r.permutation(500)
+    table = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for h in ann.search(table, is_query="vec_id in (0, 150, 350)").orderBy("query_id", "rank").collect():
+        got[h.query_id].append(h.vec_id)
+    assert got == {0: [100, 101, 102, 103, 104], 150: [0, 100, 101, 102, 103], 350: [0, 100, 101, 102, 103]}
+
+
 @here
 def test_recall_on_the_tables(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
