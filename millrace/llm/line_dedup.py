@@ -1,28 +1,36 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame functions alone.
 
 A line is the set of its words. Words are ordered by rarity; two sets of Jaccard similarity 0.8 or more share a word within their
-prefixes, and differ little in length, in the position of that word and in a 128-bit parity of their words. What passes
-these filters is verified on the words themselves, and the later line goes.
+prefixes, and differ little in length, in the position of that word and in a 128-bit parity of their words. Lines for which some other line passes
+these filters are joined once more, now with their whole sets, which decide; the later line goes. Both joins ask whether a partner exists, so that
+neither gives pairs and a crowd of near copies costs each member the way to its first match.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from millrace.llm.common import WORD, written
 
 #: Word counts by hash, 2**18 of them whatever the corpus; they only order words, so that shared cells cost time, never a link.
 CELLS_LOG = 18
-_LOW = (1 << 43) - 1
 #: No character of a word.
 _BLANK = r"[\x20\x09-\x0D]+"
+#: Places are broadcast while they take at most so many bytes; beyond, both sides are shuffled.
+SMALL = 64 << 20
+#: Places in their order: documents by id, those of one id by a hash of their texts, and lines within them.
+_PLACE = ("no_id", "did", "th", "line_no")
 
 
 def _words(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _BLANK)
+    """The words of a line that has one, with repeats. Where single blanks part them, no pattern is needed, which is faster."""
+    odd = reduce(or_, [F.contains(line, F.lit(c)) for c in ("\t", "\r", "\x0b", "\x0c", "  ")]) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(odd, F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _BLANK)).otherwise(F.split(line, " "))
 
 
 def _cell(h: Column) -> Column:
@@ -42,53 +50,58 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Ranks of word cells by count over all texts, in the upper bits, as a scalar subquery of one array of fixed size."""
-    counts = docs.select(F.explode(F.split("text", _BLANK)).alias("word")).groupBy(_cell(F.xxhash64("word")).alias("cell")).agg(F.count("*").alias("n"))
+    """Ranks of word cells by the logarithm of their counts over all texts, in the upper 9 bits, as a scalar subquery of one array of fixed size."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(WORD))
+    words = lines.select(F.explode(_words(F.col("line"))).alias("word")).select(_cell(F.xxhash64("word")).alias("cell"), F.lit(1).cast("long").alias("n"))
     every = docs.sparkSession.range(1 << CELLS_LOG).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n"))
-    rank = F.shiftleft(F.floor(F.log2(F.sum("n") + 1) * 16384).cast("long"), 43)
-    full = counts.unionByName(every).groupBy("cell").agg(rank.alias("rank"))
-    return full.agg(F.sort_array(F.collect_list(F.struct("cell", "rank"))).alias("a")).select(F.col("a.rank")).scalar()
-
+    counts = words.unionByName(every).groupBy("cell").agg(F.sum("n").alias("n"))
+    rank = F.shiftleft(F.floor(F.log2(F.col("n") + 1) * 4).cast("long"), 55)
+    line = written(counts.select("cell", rank.alias("rank")).agg(F.sort_array(F.collect_list(F.struct("cell", "rank")))["rank"].alias("a")), "line-ranks")
+    return line.scalar()
 
-def _at_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The lines of ``docs`` at written ``places(no_id, did, th, line_nos)``, a row a document: ``(no_id, did, line_no, line)``.
 
-    The places are broadcast while they take at most 64 MB; beyond, both sides are shuffled.
-    """
-    size = places.select(F.sum(F.size("line_nos") * 8 + 64)).first()[0] or 0
-    found = _rows(docs).join(F.broadcast(places) if size <= 64 << 20 else places, ["no_id", "did", "th"])
-    lines = F.split("text", "\n")
-    pick = F.transform("line_nos", lambda k: F.struct(k.alias("line_no"), F.get(F.col("lines"), k).alias("line")))
-    return found.select("no_id", "did", F.explode(F.array(lines)).alias("lines"), "line_nos").select("no_id", "did", F.inline(pick))
+def _by_doc(places: DataFrame, name: str) -> DataFrame:
+    """Written ``(no_id, did, th, at)``: the lines of each document as an array of ``(line_no, id)``."""
+    return written(places.groupBy("no_id", "did", "th").agg(F.collect_list(F.struct("line_no", "id")).alias("at")), name)
 
 
-def _entries(lines: DataFrame, ranks: Column) -> DataFrame:
-    """A row for each prefix word of each distinct line: ``(key, pos, n, sig, sig2, no_id, did, line_no)``."""
-    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
-    keyed = F.transform(F.array_distinct(hashes), lambda h: F.get(F.col("ranks"), _cell(h)).bitwiseXOR(F.shiftrightunsigned(h, 21)))
+def _at_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``(id, line)`` of the lines of ``docs`` at the written places of :func:`_by_doc`."""
+    size = places.select(F.sum(F.size("at") * 16 + 64)).first()[0] or 0
+    found = _rows(docs).join(F.broadcast(places) if size <= SMALL else places, ["no_id", "did", "th"])
+    pick = F.transform("at", lambda k: F.struct(k["id"].alias("id"), F.get(F.col("lines"), k["line_no"]).alias("line")))
+    # an array of one row makes the lines a column, which the function reads rather than splits anew
+    return found.select(F.explode(F.array(F.split("text", "\n"))).alias("lines"), "at").select(F.inline(pick))
+
+
+def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
+    """``(id, keys)``: the distinct words of each line by sorted 63-bit keys, rarer words first, those of equal rank by their hash."""
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    keyed = F.transform(hashes, lambda h: F.get(F.col("ranks"), _cell(h)).bitwiseOR(F.shiftrightunsigned(h, 9)))
     # two projections that become one: the ranks stay a reference within the expression and are no column of any row
-    sets = lines.select("no_id", "did", "line_no", "line", ranks.alias("ranks")).select("no_id", "did", "line_no", F.sort_array(keyed).alias("keys"))
+    return lines.select("id", "line", ranks.alias("ranks")).select("id", F.sort_array(keyed).alias("keys"))
+
+
+def _entries(sets: DataFrame) -> DataFrame:
+    """A row for each prefix word of each set: ``(id, n, sig, sig2, pos, key)``."""
 
     def described(k: Column) -> Column:
         n = F.size(k)
-        one = F.lit(1).cast("long")
-
 
-        def parity(of: Column) -> Column:
-            return F.aggregate(of, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
+        def parity(half: int) -> Column:
+            bit = lambda x: F.shiftrightunsigned(x if half else F.bitwise_not(x), 6).bitwiseAND(F.lit(1).cast("long"))
+            return F.aggregate(k, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", bit(x), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
-        low = parity(F.filter(k, lambda x: x.bitwiseAND(F.lit(64)) == 0))
-        high = parity(F.filter(k, lambda x: x.bitwiseAND(F.lit(64)) != 0))
-        return F.struct(n.alias("n"), low.alias("sig"), high.alias("sig2"), F.slice(k, F.lit(1), n - F.floor((n * 4 + 4) / 5).cast("int") + 1).alias("prefix"))
+        return F.struct(n.alias("n"), parity(0).alias("sig"), parity(1).alias("sig2"), F.slice(k, F.lit(1), n - F.floor((n * 4 + 4) / 5).cast("int") + 1).alias("prefix"))
 
-    one = sets.select("no_id", "did", "line_no", F.inline(F.transform(F.array("keys"), described)))
+    one = sets.select("id", F.inline(F.transform(F.array("keys"), described)))
     # the condition is what the join adds, so that all uses share one exchange
-    return one.select("no_id", "did", "line_no", "n", "sig", "sig2", F.posexplode("prefix").alias("pos", "key")).where("key is not null")
+    return one.select("id", "n", "sig", "sig2", F.posexplode("prefix").alias("pos", "key")).where("key is not null")
 
 
 def _may_match(a: str, b: str) -> Column:
     """Length, positional and parity filters of two entries that share a prefix word."""
-    col = lambda side, name: F.col(f"{side}{name}")
+    col = lambda side, name: F.col(f"{side}.{name}")
     n, m, i, j = col(a, "n"), col(b, "n"), col(a, "pos"), col(b, "pos")
     total = n + m
     reach = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
@@ -97,92 +110,73 @@ def _may_match(a: str, b: str) -> Column:
     return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (reach * 9 >= total * 4) & (unlike <= differ)
 
 
-_PLACE = ("no_id", "did", "line_no")
+def _same(a: str, b: str) -> Column:
+    return F.size(F.array_intersect(f"{a}.keys", f"{b}.keys")) * 9 >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * 4
 
 
-def _ends(later: str, earlier: str) -> list[Column]:
-    return [F.col(f"{side}{c}").alias(f"{to}_{c}") for side, to in ((later, "x"), (earlier, "c")) for c in _PLACE]
+def near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(id)`` of the written ``classes`` of lines that have an earlier similar one; ids rise with the first place.
 
-
-def _order(side: str) -> Column:
-    return F.struct(*[F.col(f"{side}{c}") for c in _PLACE])
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Written ``pairs`` (``x_...`` later, ``c_...`` earlier) with ``same``: whether the word sets have a Jaccard similarity of 0.8 or more."""
-    ends = [pairs.select(*[F.col(f"{to}_{c}").alias(c) for c in _PLACE]) for to in ("x", "c")]
-    wanted = ends[0].unionByName(ends[1]).distinct().join(ids, list(_PLACE))
-    places = written(wanted.groupBy("no_id", "did", "th").agg(F.collect_list("line_no").alias("line_nos")), "line-places")
-    # lines, which compress, are moved rather than their words; repeated rows give the same line, of which max takes one
-    lines = _at_lines(docs, places).groupBy(*_PLACE).agg(F.max("line").alias("line"))
-    x = lines.select(*[F.col(c).alias(f"x_{c}") for c in _PLACE], F.col("line").alias("xl"))
-    c = lines.select(*[F.col(c).alias(f"c_{c}") for c in _PLACE], F.col("line").alias("cl"))
-    full = pairs.join(x, [f"x_{k}" for k in _PLACE]).join(c, [f"c_{k}" for k in _PLACE])
-    sets = full.select(*pairs.columns, F.array_distinct(_words(F.col("xl"))).alias("xw"), F.array_distinct(_words(F.col("cl"))).alias("cw"))
-    same = F.size(F.array_intersect("xw", "cw")) * 9 >= (F.size("xw") + F.size("cw")) * 4
-    return sets.select(*pairs.columns, same.alias("same"))
+    Entries that some other line's entry matches by the filters are what later steps work on. The rarest and the
+    commonest of these of each line meet with whole sets first, which settles most copies. Lines still open are then held against every earlier line that the filters admit.
+    """
+    ranks = rarity(docs)
+    entries = _entries(_sets(_at_lines(docs, _by_doc(classes, "line-firsts")), ranks))
+    meet = (F.col("x.key") == F.col("y.key")) & _may_match("x", "y")
+    later = F.col("x.id") > F.col("y.id")
+    x, y = entries.alias("x"), entries.alias("y")
+    some = written(x.join(y, meet & (F.col("x.id") != F.col("y.id")), "left_semi"), "line-candidates")
+    sets = written(_sets(_at_lines(docs, _by_doc(classes.join(some.select("id").distinct(), "id", "left_semi"), "line-open")), ranks), "line-sets")
+    rarest = some.groupBy("id").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    few = some.join(rarest, "id").where("key = least or key = most").select(*some.columns).join(sets, "id").where("key is not null")
+    x, y = few.alias("x"), few.alias("y")
+    first = written(x.join(y, meet & later & _same("x", "y"), "left_semi").select("id").distinct(), "line-near")
+    rest = some.join(first, "id", "left_anti").where("key is not null")
+    x, y = rest.alias("x"), some.alias("y")
+    x = written(x.join(y, meet & later, "left_semi"), "line-later")
+    y = written(y.join(x.alias("x"), meet & later, "left_semi"), "line-earlier")
+    x, y = x.join(sets, "id").alias("x"), y.join(sets, "id").alias("y")
+    return first.unionByName(x.join(y, meet & later & _same("x", "y"), "left_semi").select("id").distinct())
 
 
 def dropped_classes(docs: DataFrame) -> DataFrame:
-    """``(h1, h2, no_id, did, line_no, near)`` of the distinct lines that occur twice or have an earlier similar line (``near``), with their first place.
-
-    Within the lines of one size that share a prefix word, each is first compared with the earliest one; a line that looks like one or more
-    such is held against the first of them only, others against all earlier lines that pass the filters. Lines for which the comparison then fails are held
-    against every line of their words, too, so that crowds of near copies aren't compared pair by pair and no match is missed.
-    """
-    place = F.min(F.struct(*_PLACE, "th"))
-    first = _lines(docs).groupBy("h1", "h2").agg(place.alias("o"), F.count("*").alias("times"))
-    classes = written(first.select("h1", "h2", "o.*", "times"), "line-classes")
-    ids = classes.select(*_PLACE, "th")
-    reps = written(ids.groupBy("no_id", "did", "th").agg(F.collect_list("line_no").alias("line_nos")), "line-firsts")
-    base = _entries(_at_lines(docs, reps), rarity(docs))
-    entries = base.repartition("key")
-    lead = F.first(F.struct("n", "pos", "sig", "sig2", *_PLACE)).over(Window.partitionBy("key", "n").orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    led = entries.select("*", lead.alias("lead")).withColumn("is_lead", _order("") == _order("lead."))
-    led = led.withColumn("near", ~F.col("is_lead") & _may_match("", "lead."))
-    # both sides come from one plan, so that they share its exchange
-    led = led.select("key", "n", "pos", "sig", "sig2", *_PLACE, "is_lead", "near", _order("lead.").alias("lead"))
-    a, b = led.alias("a"), led.alias("b")
-    other = (F.col("a.key") == F.col("b.key")) & (_order("a.") < _order("b.")) & _may_match("a.", "b.")
-    wanted = ~F.col("b.near") | (F.col("a.is_lead") & (_order("a.") == F.col("b.lead")))
-    pairs = a.join(b, other & wanted).select(*_ends("b.", "a."), F.col("b.near").alias("star"))
-    pairs = pairs.groupBy(*[f"{t}_{c}" for t in ("x", "c") for c in _PLACE]).agg(F.max("star").alias("star"))
-    pairs, x = written(pairs, "line-pairs"), [f"x_{c}" for c in _PLACE]
-    one = pairs.where("star").groupBy(*x).agg(F.min(F.struct(*[f"c_{c}" for c in _PLACE])).alias("c")).select(*x, "c.*", F.lit(True).alias("star"))
-    chosen = written(one.unionByName(pairs.where("not star").join(one, x, "left_anti")), "line-chosen")
-    held = written(_verified(docs, chosen, ids), "line-verified")
-    by_x = held.groupBy(*[F.col(f"x_{c}").alias(c) for c in _PLACE]).agg(F.max("same").alias("same"), F.max("star").alias("star"))
-    near = by_x.where("same").select(*_PLACE)
-    open_ = written(by_x.where("star and not same").select(*_PLACE), "line-open")
-    if not open_.isEmpty():
-        again = written(_entries(_at_lines(docs, written(open_.join(ids, list(_PLACE)).groupBy("no_id", "did", "th").agg(F.collect_list("line_no").alias("line_nos")), "line-again")), rarity(docs)), "line-again-entries")
-        small = again.count() <= 1_000_000
-        b = (F.broadcast(again) if small else again).alias("b")
-        last = base.alias("a").join(b, other).select(*_ends("b.", "a.")).distinct()
-        near = near.unionByName(_verified(docs, written(last, "line-pairs"), ids).where("same").select(*[F.col(f"x_{c}").alias(c) for c in _PLACE])).distinct()
-    near = near.withColumn("near", F.lit(True))
-    out = classes.join(near, list(_PLACE), "left").where("times > 1 or near")
+    """``(h1, h2, no_id, did, th, line_no, near)`` of the distinct lines that occur twice or have an earlier similar line (``near``), with their first place."""
+    first = _lines(docs).groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("o"), F.count("*").alias("times"))
+    line = first.select("h1", "h2", "o.*", "times").repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE)
+    classes = written(line.withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    near = near_lines(docs, classes).withColumn("near", F.lit(True))
+    out = classes.join(near, "id", "left").where("times > 1 or near")
     return out.select("h1", "h2", *_PLACE, F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` without its repeated lines, and ``n_lines``, ``n_removed``.
+def gone_lines(docs: DataFrame) -> DataFrame:
+    """Written ``(no_id, did, th, gone)``: the numbers of the lines that go, of each document that loses any."""
+    order = F.struct(*_PLACE)
+    drop = written(dropped_classes(docs).select("h1", "h2", order.alias("first"), "near"), "line-drops")
+    gone = _lines(docs).join(drop, ["h1", "h2"]).where(F.col("near") | (order != F.col("first")))
+    return written(gone.groupBy("no_id", "did", "th").agg(F.collect_set("line_no").alias("gone")), "line-gone")
+
+
+def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """``docs`` with ``text`` without its repeated lines, and ``n_lines``, ``n_removed`` unless ``counts`` is false.
 
     A line goes if an earlier line, in the order of (doc_id, line), equals it or has a word set of Jaccard similarity 0.8 or more; whether
-    that line goes itself doesn't matter. Lines without a word stay. Null texts stay null with no lines. Rows of the same doc_id and text
-    are one document and stay alike; null doc_ids come last. Texts may be of any length. An empty table gives an empty one. Other
-    columns pass through; ``docs`` must not have the two new names.
+    that line goes itself doesn't matter. Words are told apart by 63 bits of hash and rank. Lines without a word stay. Null texts stay null with no
+    lines. Rows of the same doc_id and text are one document and stay alike; different texts of one doc_id go by a hash of the text; null doc_ids
+    come last. Texts may be of any length. An empty table gives an empty one. Other columns pass through under any names, but for columns
+    named like the two counts, which these replace.
     """
-    drop = written(dropped_classes(docs).select("h1", "h2", _order("").alias("first"), "near"), "line-drops")
-    gone = _lines(docs).join(drop, ["h1", "h2"]).where(F.col("near") | (_order("") != F.col("first")))
-    by_doc = written(gone.groupBy(F.col("no_id").alias("g_no_id"), F.col("did").alias("g_did"), F.col("th").alias("g_th")).agg(F.collect_set("line_no").alias("g_lines")), "line-gone")
-    size = by_doc.select(F.sum(F.size("g_lines") * 8 + 64)).first()[0] or 0
+    gone = gone_lines(docs)
+    size = gone.select(F.sum(F.size("gone") * 8 + 64)).first()[0] or 0
     th = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = (F.col("doc_id").isNull() == F.col("g_no_id")) & (F.coalesce(F.col("doc_id").cast("long"), th) == F.col("g_did")) & (th == F.col("g_th"))
-    joined = docs.join(F.broadcast(by_doc) if size <= 64 << 20 else by_doc, same, "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("g_lines"), i)), "\n")
-    out = joined.withColumns({"n_lines": F.coalesce(F.size(F.when(F.col("text").isNotNull(), lines)), F.lit(0)), "n_removed": F.coalesce(F.size(F.col("g_lines")), F.lit(0))})
-    out = out.withColumns({c: F.when(F.col(c) < 0, 0).otherwise(F.col(c)).cast(T.IntegerType()) for c in ("n_lines", "n_removed")})
-    text = F.when(F.col("g_lines").isNull(), F.col("text")).otherwise(kept)
-    return out.withColumn("text", text).select(*docs.columns, "n_lines", "n_removed")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), th).alias("did"), th.alias("th"))
+    joined = own.join(F.broadcast(gone) if size <= SMALL else gone, ["no_id", "did", "th"], "left")
+    split = joined.select("own", "gone", F.explode(F.array(F.split("own.text", "\n"))).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("own.text")).otherwise(kept)
+    out = {c: (text if c == "text" else F.col(f"own.`{c}`")).alias(c) for c in docs.columns}
+    if counts:
+        number = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast(T.IntegerType())
+        out |= {"n_lines": number("lines").alias("n_lines"), "n_removed": number("gone").alias("n_removed")}
+    return split.select(*out.values())

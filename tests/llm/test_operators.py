@@ -183,6 +183,46 @@ def test_line_dedup(spark, seed):
     assert line_dedup.dedup_lines(docs_table(spark, EMPTY)).count() == 0
 
 
+def test_line_dedup_crowds(spark):
+    """A large group of near copies of one line, a line of most documents, words of every line, and clashing columns; against brute force."""
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    base = r.sample(words, 40)
+    rows = []
+    for i in range(240):
+        near = list(base)
+        for _ in range(r.randint(0, 9)):
+            near[r.randrange(40)] = r.choice(words)
+        lines = [" ".join(near), "the line that is in every document", " ".join(r.choices(words, k=r.randint(1, 60))), "  two\tparts " + r.choice(words) + " " + str(i % 9)]
+        r.shuffle(lines)
+        rows.append((i if i % 50 else 7, "\n".join(lines), "en", "s"))
+    columns = "doc_id long, text string, lang string, source string, n_lines string, n_removed int, gone int, own string, lines long, th long"
+    docs = spark.createDataFrame([(*x, "n", 1, 2, "o", 3, 4) for x in rows], columns)
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == docs.columns and dict(got.dtypes)["n_lines"] == "int"
+    seven = {x[1] for x in rows if x[0] == 7}
+    wanted = brute_lines([x for x in rows if x[0] != 7])
+    alone = {x.doc_id: x for x in line_dedup.dedup_lines(docs.where("doc_id <> 7")).collect()}
+    assert {(i, x.text): (x.n_lines, x.n_removed) for i, x in alone.items()} == {(i, t): (n, m) for (i, _), (t, n, m) in wanted.items()}
+    every = got.collect()
+    assert len(every) == len(rows) and len({x.text for x in every if x.doc_id == 7}) == len(seven) and {(x.gone, x.own, x.lines, x.th) for x in every} == {(2, "o", 3, 4)}
+    plain = line_dedup.dedup_lines(docs, counts=False)
+    assert plain.columns == docs.columns and {x.n_lines for x in plain.collect()} == {"n"}
+
+
+def test_line_dedup_long_texts(spark):
+    """A line of 100,000 words and a text of 40,000 lines, most of which go."""
+    r = random.Random(1)
+    long = " ".join(f"w{k}" for k in range(100_000))
+    many = [f"line number {k % 5000} of the text {k % 5000}" for k in range(40_000)]
+    r.shuffle(many)
+    rows = [(1, long, "en", "s"), (2, long + " more", "en", "s"), (3, "\n".join(many), "en", "s")]
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(docs_table(spark, rows)).collect()}
+    assert got[1].n_removed == 0 and got[2].text == "" and got[3].n_removed == 40_000 - len(got[3].text.split("\n"))
+    kept = brute_lines([(3, "\n".join(dict.fromkeys(many[:300])), "en", "s")])
+    assert got[3].text.split("\n")[0] == next(iter(kept.values()))[0].split("\n")[0]
+
+
 # --- 5, 7 ---
 
 
