@@ -1,13 +1,18 @@
-"""Near copies of texts by an exact set-similarity join of their five-word shingles.
+"""Near copies of texts by a set-similarity join of their five-word shingles.
 
-Shingles are ordered by rarity; two sets of Jaccard similarity 0.8 or more share a shingle within their prefixes. Candidates that lengths and
-positions admit are verified on the whole sets. Crowds are joined to a few leaders first, so that only texts of different components
-are compared after that; no pair is left out.
+A set is described by its size and its 64 shingles of the smallest hashes, a random sample of it. Shingles are ordered by their count over all
+samples, and a set meets others by the rarest of its sample: so many that, by the prefix principle, two samples with the overlap that similar sets have
+share one. Candidates whose lengths and samples admit a similarity of 0.8 are verified on the whole sets. Crowds are joined to a few leaders
+first, so that only texts of different components are compared after that.
+
+Sets of up to 51 shingles, whose partners are also held whole, have the exact overlap. Others count on 30 common shingles in their samples; a pair
+at a similarity of 0.8 has fewer with a chance of 1e-9.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,95 +26,97 @@ from millrace.llm.components import connected_components
 
 #: Similar: a Jaccard similarity of NUM / DEN or more.
 NUM, DEN, WIDTH = 4, 5, 5
-#: Shingle counts by hash, 2**18 of them whatever the corpus; they only order shingles, so that shared cells cost time, never a pair.
-CELLS_LOG = 18
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 17:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word, 42)
-        return out
-
-
-_words = _Words()
+#: Shingles of a sample; those that two samples have in common at least; sizes up to which a set and its partners are held whole.
+SAMPLE, OVERLAP, WHOLE = 64, 30, 51
+#: Texts are hashed in pieces of about so many bytes, cut between words.
+PIECE = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64 and of its inverse."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(n, base, dtype=np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word, the runs of bytes other than ASCII white space: differences of one running sum over all bytes."""
+    out = []
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        b = np.frombuffer(text, dtype=np.uint8, count=min(end, len(text)) - at, offset=at)
+        at = end
+        blank = np.ones(len(b) + 2, dtype=np.int8)
+        blank[1:-1] = (b == 32) | ((b >= 9) & (b <= 13))
+        turn = np.diff(blank)
+        begins, ends = np.nonzero(turn == -1)[0], np.nonzero(turn == 1)[0]
+        size = max(1 << 12, 1 << int(len(b)).bit_length())
+        up, down = _powers(max(size, 1 << 18))
+        total = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum((b + np.uint64(1)) * up[: len(b)], out=total[1:])
+        h = (total[ends] - total[begins]) * down[begins]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(h ^ (h >> np.uint64(32)))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the lower-cased five-word shingles; fewer than five words are one shingle, none are none."""
-    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    w = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    """Sorted distinct 63-bit hashes of the lower-cased five-word shingles; fewer than five words are one shingle, none are none."""
+    w = _word_hashes((text or "").lower().encode("utf-8", "surrogatepass"))
     n = max(1, len(w) - WIDTH + 1) if len(w) else 0
     h = np.zeros(n, dtype=np.uint64)
     for k in range(min(WIDTH, len(w))):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n]
+        h = h * np.uint64(_BASE) + w[k : k + n]
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return np.unique(h ^ (h >> np.uint64(29)))
+    h = np.sort((h ^ (h >> np.uint64(29))) >> np.uint64(1))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
 def _identity(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).view(np.int64))
 
 
-def _cell(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - CELLS_LOG)).astype(np.int64)
-
-
 def _described(rows: DataFrame) -> DataFrame:
-    """``(no_id, did, th, cid, cell, n)``: each row with the identity of its set; and the shingle counts of a task's cells, with a null ``cid``."""
+    """``(no_id, did, th, cid, size, keys)``: each row with the identity, the size and the sample of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELLS_LOG, dtype=np.int64)
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        names = [*ROW, "cid", "cell", "n"]
         for batch in batches:
-            cid = []
-            for t in batch.column(3).to_pylist():
-                s = shingles(t)
-                np.add.at(total, _cell(s), 1)
-                cid.append(_identity(s))
-            none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cid, pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())], names=names)
-        at = np.nonzero(total)[0]
-        for k in range(0, len(at), 1 << 15):
-            part = at[k : k + (1 << 15)]
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(part)).cast(t) for t in kinds[:4]], pa.array(part, pa.int32()), pa.array(total[part])], names=names)
+            sets = [shingles(t) for t in batch.column(3).to_pylist()]
+            own = ([_identity(s) for s in sets], [len(s) for s in sets], [s[:SAMPLE].view(np.int64) for s in sets])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, own, (pa.int64(), pa.int32(), pa.list_(pa.int64())))], names=[*ROW, "cid", "size", "keys"])
 
-    return rows.mapInArrow(run, "no_id boolean, did long, th long, cid long, cell int, n long")
+    return rows.mapInArrow(run, "no_id boolean, did long, th long, cid long, size int, keys array<long>")
 
 
-def _entries(rows: DataFrame, rank: np.ndarray) -> DataFrame:
-    """``(key, pos, n, cid)`` of the prefix of each set; a task gives equal sets once, as far as it remembers them."""
+def _entries(sets: DataFrame) -> DataFrame:
+    """``(key, n, cid)`` of the shared shingles in the prefix of each sample of ``sets(cid, size, keys)``, rarest first.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            keys, pos, size, ids = [], [], [], []
-            for t in batch.column(3).to_pylist():
-                s = shingles(t)
-                cid = _identity(s)
-                if not len(s) or cid in seen:
-                    continue
-                if len(seen) >= 200_000:
-                    seen.clear()
-                seen.add(cid)
-                n = len(s)
-                k = n - -(-n * NUM // DEN) + 1
-                keys.append(s[np.argsort(rank[_cell(s)], kind="stable")[:k]])
-                pos.append(np.arange(k, dtype=np.int32))
-                size.append(np.full(k, n, dtype=np.int32))
-                ids.append(np.full(k, cid, dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (pos, size, ids)]], names=["key", "pos", "n", "cid"])
-
-    return rows.mapInArrow(run, "key long, pos int, n int, cid long")
-
-
-def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Length and position filters of two entries that share a prefix shingle."""
-    reach = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (reach * (NUM + DEN) >= (n + m) * NUM)
+    Shingles of one sample alone come before all others and meet nothing, so that only the rest is put in order.
+    """
+    every = sets.where("size > 0").select("cid", F.col("size").alias("n"), F.size("keys").alias("have"), F.explode("keys").alias("key"))
+    shared = every.withColumn("times", F.count("*").over(Window.partitionBy("key"))).where("times > 1")
+    of_set = Window.partitionBy("cid")
+    need = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * NUM / DEN)).otherwise(OVERLAP)
+    placed = shared.withColumns({"place": F.row_number().over(of_set.orderBy("times", "key")), "alone": F.col("have") - F.count("*").over(of_set)})
+    return placed.where(F.col("alone") + F.col("place") <= F.col("have") - need + 1).select("key", "n", "cid")
+
+
+def _may_match(n: Column, m: Column) -> Column:
+    return F.least(n, m) * DEN >= F.greatest(n, m) * NUM
+
+
+def _alike(a: str, b: str) -> Column:
+    """Whether two samples admit the similarity; exact for sets that they hold as a whole."""
+    n, m, both = F.col(f"{a}.n"), F.col(f"{b}.n"), F.size(F.array_intersect(f"{a}.sample", f"{b}.sample"))
+    return F.when(F.greatest(n, m) <= SAMPLE, both * (NUM + DEN) >= (n + m) * NUM).otherwise(both >= OVERLAP)
 
 
 def _similar(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -121,11 +128,21 @@ def _similar(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = rows.join(F.broadcast(places) if small else places, list(ROW)).groupBy("cid").agg(F.max("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def whole(cid: int, text: str) -> np.ndarray:
+            if cid not in held:
+                if sum(map(len, held.values())) > 1 << 22 or len(held) >= 512:
+                    held.clear()
+                held[cid] = shingles(text)
+            return held[cid]
+
         for batch in batches:
             same = []
-            for t, u in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = shingles(t), shingles(u)
-                same.append(len(np.intersect1d(x, y, assume_unique=True)) * (NUM + DEN) >= (len(x) + len(y)) * NUM)
+            for a, b, t, u in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = whole(b, u), whole(a, t)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                same.append(int((y[at] == x).sum()) * (NUM + DEN) >= (len(x) + len(y)) * NUM)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     full = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
@@ -140,21 +157,18 @@ def near_copies(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """
     rows = with_row(docs.select("doc_id", "text")).select(*ROW, "text")
     both = written(_described(rows), "near-rows")
-    of = both.where("cid is not null").select(*ROW, "cid")
-    counts = both.where("cid is null").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # 2**18 rows at most
-    rank = np.zeros(1 << CELLS_LOG, dtype=np.uint16)
-    rank[counts["cell"].to_numpy()] = np.log2(counts["n"].to_numpy() + 1.0) * 64
+    of = both.select(*ROW, "cid")
     firsts = of.groupBy("cid").agg(F.min(F.struct(*ROW)).alias("o")).select("cid", "o.*")
     by_key = Window.partitionBy("key")
-    led = _entries(rows, rank).repartition("key").withColumns({"again": F.lag("cid").over(by_key.orderBy("cid")).eqNullSafe(F.col("cid")), "least": F.min("cid").over(by_key), "most": F.max("cid").over(by_key)})
-    shared = written(led.where("not again and least <> most").select("key", "pos", "n", "cid"), "near-shared")
+    sets = written(both.select("cid", "size", "keys").dropDuplicates(["cid"]), "near-sets")
+    shared = written(_entries(sets), "near-shared")
     edges = docs.sparkSession.createDataFrame([], "a long, b long")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     for k in range(rounds + 1):
-        at = shared.join(roots, shared.cid == roots.node, "left").select("key", "pos", "n", "cid", F.coalesce("root", "cid").alias("comp"))
+        at = shared.join(roots, shared.cid == roots.node, "left").select("key", "n", "cid", F.coalesce("root", "cid").alias("comp"))
         if k < rounds:
-            lead = F.first(F.struct("pos", "n", "cid", "comp")).over(by_key.orderBy(F.xxhash64("cid", F.lit(k)), "cid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-            near = at.withColumn("lead", lead).where((F.col("comp") != F.col("lead.comp")) & _may_match(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+            lead = F.first(F.struct("n", "cid", "comp")).over(by_key.orderBy(F.xxhash64("cid", F.lit(k)), "cid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            near = at.withColumn("lead", lead).where((F.col("comp") != F.col("lead.comp")) & _may_match(F.col("n"), F.col("lead.n")))
             times = near.groupBy("cid", F.col("lead.cid").alias("to")).agg(F.count("*").alias("times"))
             pairs = times.groupBy("cid").agg(F.max(F.struct("times", "to")).alias("best")).select(F.col("cid").alias("a"), F.col("best.to").alias("b"))
         else:
@@ -162,9 +176,12 @@ def near_copies(docs: DataFrame, rounds: int = 2) -> DataFrame:
             sizes = written(at, "near-at").groupBy("key", "comp").agg(F.count("*").alias("size"))
             main = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("many")).where("many > 1").select("key", F.col("top.comp").alias("main"))
             at = written(at.join(main, "key"), "near-mixed")
+            # by the upper halves of the keys, which are in the same order and take half the room
+            halves = sets.select(F.col("cid"), F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("sample"))
+            at = at.join(halves, "cid").where("key is not null")
             x, y = at.where("comp <> main").alias("x"), at.alias("y")
             wanted = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid")))
-            met = x.join(y, (F.col("x.key") == F.col("y.key")) & wanted & _may_match(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+            met = x.join(y, (F.col("x.key") == F.col("y.key")) & wanted & _may_match(F.col("x.n"), F.col("y.n")) & _alike("x", "y"))
             pairs = met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
         pairs = written(pairs, "near-pairs")
         if pairs.isEmpty():

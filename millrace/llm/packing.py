@@ -7,8 +7,9 @@ a successor search goes from the tightest bin that fits to roomier ones until on
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import count
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,24 +29,39 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     line: list[tuple[int, int]] = []
     source_map: list[int] = []
     cluster_map: list[int] = []
+    left: list[int] = []
+    placed: list[tuple[int, int]] = []
+    # for items alike in size and bits: up to where bins are known to conflict, how far ``placed`` was read, and what was found in it meanwhile
+    known: dict[tuple[int, int, int], tuple[tuple[int, int], int, list[tuple[int, int]]]] = {}
     bins, starts = [0] * len(sizes), [0] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
+        size, alike = sizes[i], (sizes[i], sources[i], clusters[i])
         s = 1 << sources[i] if sources[i] >= 0 else 0
         c = 1 << clusters[i] if clusters[i] >= 0 else 0
-        at = bisect_left(line, (sizes[i], -1))
-        while at < len(line) and (source_map[line[at][1]] & s or cluster_map[line[at][1]] & c):
+        fits = lambda x: left[x[1]] == x[0] and not (source_map[x[1]] & s or cluster_map[x[1]] & c)  # noqa: B023, E731
+        upto, read, fresh = known.get(alike, ((size, -1), len(placed), []))
+        fresh = [x for x in [*fresh, *placed[read:]] if size <= x[0] and x < upto and fits(x)]
+        at = bisect_left(line, upto)
+        while at < len(line) and not fits(line[at]):
             at += 1
-        if at < len(line):
-            left, b = line.pop(at)
+        found = line[at] if at < len(line) else (capacity + 1, 0)
+        known[alike] = (found, len(placed), fresh)
+        best = min([found, *fresh])
+        if best[0] <= capacity:
+            b = best[1]
+            line.pop(bisect_left(line, best))
         else:
-            left, b = capacity, len(source_map)
+            b = len(left)
+            left.append(capacity)
             source_map.append(0)
             cluster_map.append(0)
-        bins[i], starts[i] = b, capacity - left
+        bins[i], starts[i] = b, capacity - left[b]
         source_map[b] |= s
         cluster_map[b] |= c
-        if left > sizes[i]:
-            insort(line, (left - sizes[i], b))
+        left[b] -= size
+        if left[b]:
+            insort(line, (left[b], b))
+            placed.append((left[b], b))
     return bins, starts
 
 
@@ -69,19 +85,18 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 4000) -> DataF
         F.pmod(F.xxhash64("doc_id", "th"), F.lit(shards)).cast("int").alias("shard"),
     )
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "size", "cluster_bit"], kind="stable", ignore_index=True)
-        rest = group["size"] % capacity
-        full = group["size"] // capacity
-        fits = (rest > 0) | (full == 0)
-        own = group[fits]
-        bins, starts = best_fit(rest[fits].tolist(), own["source_bit"].tolist(), own["cluster_bit"].tolist(), capacity)
-        out = pd.DataFrame({"doc_id": own["doc_id"], "piece": full[fits], "first_word": full[fits] * capacity, "n_words": rest[fits], "bin": bins, "start": starts})
-        cut = group.index.repeat(full)
-        piece = pd.Series(range(len(cut)), dtype="int64") - pd.Series(full.cumsum() - full).reindex(cut).to_numpy()
-        whole = pd.DataFrame({"doc_id": group["doc_id"].reindex(cut).to_numpy(), "piece": piece, "first_word": piece * capacity, "n_words": capacity, "bin": max(bins, default=-1) + 1 + pd.Series(range(len(cut)), dtype="int64"), "start": 0})
-        both = pd.concat([out, whole], ignore_index=True) if len(whole) else out
-        both["bin_id"] = str(group["shard"].iloc[0]) + "-" + both["bin"].astype(str)
-        return both[["doc_id", "piece", "first_word", "n_words", "bin_id", "start"]]
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("bin_id", pa.string()), ("start", pa.int64())])
 
-    return spread.groupBy("shard").applyInPandas(run, "doc_id long, piece long, first_word long, n_words long, bin_id string, start long")
+    def run(group: pa.Table) -> pa.Table:
+        rows = zip(*(group.column(c).to_pylist() for c in ("doc_id", "size", "cluster_bit", "source_bit")))
+        own = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
+        parts = [(i, *divmod(r[1], capacity)) for i, r in enumerate(own)]
+        rest = [(i, full, left) for i, full, left in parts if left or not full]
+        bins, starts = best_fit([left for _, _, left in rest], [own[i][3] for i, _, _ in rest], [own[i][2] for i, _, _ in rest], capacity)
+        out = [(own[i][0], full, full * capacity, left, b, at) for (i, full, left), b, at in zip(rest, bins, starts)]
+        next_bin = count(max(bins, default=-1) + 1)
+        out += [(own[i][0], k, k * capacity, capacity, next(next_bin), 0) for i, full, _ in parts for k in range(full)]
+        shard = group.column("shard")[0].as_py()
+        return pa.Table.from_pylist([dict(zip(schema.names, (d, p, f, n, f"{shard}-{b}", at))) for d, p, f, n, b, at in out], schema=schema)
+
+    return spread.groupBy("shard").applyInArrow(run, "doc_id long, piece long, first_word long, n_words long, bin_id string, start long")

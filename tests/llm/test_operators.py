@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import os
 import random
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -14,8 +15,9 @@ import numpy as np
 import pytest
 import xxhash
 import zstandard
+from pyspark.sql import functions as F
 
-from millrace.llm import ann, components, html_extract, html_train, langid, license_scan, line_dedup, mixing, near_copies, packing, queries, simhash, topk, warc
+from millrace.llm import ann, common, components, html_extract, html_train, langid, license_scan, line_dedup, mixing, near_copies, packing, queries, simhash, topk, warc
 
 SF = "/root/testdata/sf0.01"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -495,6 +497,19 @@ def test_packing(spark):
     assert packing.pack(docs_table(spark, EMPTY)).count() == 0
 
 
+def test_packing_of_equal_rows_and_large_ids(spark):
+    assert packing.best_fit([1] * 8000, [-1] * 8000, [3] * 8000, 10)[0] == list(range(8000))
+    big = 2**60 + 1
+    rows = [(big, "a b c", "en", "s"), (None, "a b c d", "en", "s"), (big + 2, "x", "en", "t")]
+    assert sorted((x.doc_id or 0, x.n_words) for x in packing.pack(docs_table(spark, rows)).collect()) == [(0, 4), (big, 3), (big + 2, 1)]
+
+
+def test_word_count(spark):
+    texts = ["", " ", "a", "a b", " a", "a ", "a  b", "a\nb", "a\n\nb c", "a \nb", "a\tb\x0bc", "é\u00a0ü x", None, "\n", "a\r\nb"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", common.word_count(F.col("t")).alias("n")).collect()
+    assert [(x.t, x.n) for x in got] == [(t, len(re.findall(common.WORD, t or ""))) for t in texts]
+
+
 def test_packing_keeps_near_copies_apart(spark):
     r = random.Random(2)
     base = [f"w{r.randint(0, 999)}" for _ in range(60)]
