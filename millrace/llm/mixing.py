@@ -13,7 +13,7 @@ from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from millrace.llm.common import word_count, written
 
@@ -116,18 +116,29 @@ def fill(items: DataFrame, target: dict[str, float], start: float, width: float,
 
 
 def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
-    """``docs(doc_id, text, source, ...)`` to ``(doc_id, size, source_size, target, taken, copies)``, a row for each row.
+    """The table of :func:`copies_of` without what tells rows of a doc_id apart."""
+    return copies_of(docs, cap).drop("key", "th", "nth")
+
+
+def copies_of(docs: DataFrame, cap: int = 3) -> DataFrame:
+    """``docs(doc_id, text, source, ...)`` to ``(doc_id, size, source_size, target, taken, copies, key, th, nth)``, a row for each row.
 
     ``size``: words of ``text`` (null: 0). Targets: :func:`targets_by_weight` of 100 % of all sizes. ``copies`` is a whole
     number from 0 to ``cap``; ``taken = copies * size``. The ``k``-th copy of a document stands at ``k - rate - u``, ``u`` a hash of
-    doc_id; a source takes its copies up to a threshold, which distributed sums find so that the words taken come up to the
+    doc_id, text and, among rows alike in these, a running number; a source takes its copies up to a threshold, which distributed sums find so that the words taken come up to the
     target; what one long document leaves open is filled with shorter ones in the same order. Documents without words keep their
     one copy. Null is a source of its own, last. Repeated rows are rows like any other. An empty table gives an empty one. The
     driver holds a few numbers a source; it never holds documents.
     """
     spark = docs.sparkSession
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11) / F.lit(float(1 << 53))).alias("u")
-    sized = written(docs.select("doc_id", _key().alias("key"), word_count(F.col("text")).alias("size"), u), "mix-sizes")
+    slim = docs.select("doc_id", _key().alias("key"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))
+    alike = slim.groupBy("doc_id", "key", "size", "th").agg(F.count("*").alias("n"))
+    # rows alike in all of these are numbered; in two steps, so that no array grows with their number
+    tens = alike.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 10_000))).alias("ten"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(9_999), F.col("n") - 1 - F.col("ten") * 10_000)))
+    numbered = tens.select("doc_id", "key", "size", "th", "ten", each.alias("one")).withColumn("nth", F.col("ten") * 10_000 + F.col("one"))
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "th", "nth", F.lit("mix")), 11) / F.lit(float(1 << 53))).alias("u")
+    sized = written(numbered.select("doc_id", "key", "size", "th", "nth", u), "mix-sizes")
     histogram = written(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "mix-histogram")
     of = histogram.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("n")).collect()  # a row a source
     name = {k: None if k == "n" else k[1:] for k, _, _ in of}
@@ -164,12 +175,18 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
 
     copies = F.when(F.col("size") == 0, 1).otherwise(reduce(add, map(taken, range(1, cap + 1)))).cast("long")
     out = rated.join(_per_source(spark, bounds, kinds), "key").withColumn("copies", copies)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "key", "th", "nth")
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row repeated as often as :func:`mix` says; rows of no copy go. Rows of a repeated or null doc_id share its copies."""
-    many = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    many = many.select(F.col("doc_id").alias("mixed_id"), F.col("copies").cast(T.IntegerType()).alias("mixed_copies"))
-    out = docs.join(many, docs.doc_id.eqNullSafe(many.mixed_id)).where("mixed_copies > 0")
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("mixed_copies"))).alias("mixed_one")).drop("mixed_one")
+    """``docs``, with columns of any names, with each row repeated as often as :func:`mix` says; rows of no copy go.
+
+    Rows alike in doc_id, source and text are numbered in any order, and each takes the copies of its number.
+    """
+    same = ("doc_id", "key", "th")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "doc_id", _key().alias("key"), F.xxhash64("text").alias("th"))
+    own = own.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))).cast("long") - 1)
+    many = copies_of(docs).where("copies > 0").select(*[F.col(c).alias(f"its_{c}") for c in (*same, "nth")], "copies")
+    meet = own.doc_id.eqNullSafe(many.its_doc_id) & (own.key == many.its_key) & (own.th == many.its_th) & (own.nth == many.its_nth)
+    out = own.join(many, meet).select("own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("one"))
+    return out.select("own.*")
