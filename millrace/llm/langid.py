@@ -41,6 +41,8 @@ def family(lang: str) -> str:
 def text_features(text: str | None) -> np.ndarray | None:
     """Square roots of hashed 1- to 4-gram counts of the letters (words kept apart by a blank), unit length; None without a letter."""
     letters = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    if letters and not letters.replace(" ", "").isalpha():  # numbers that aren't digits, such as halves and circled ones
+        letters = " ".join("".join(c if c.isalpha() else " " for c in letters).split())
     if not letters:
         return None
     b = np.frombuffer(f"  {letters}  ".encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
@@ -193,7 +195,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language can't be told (``und``); ``lang`` becomes the predicted one."""
+    """``docs``, with columns of any names, without the rows whose language can't be told (``und``: null texts and those without a letter); ``lang`` becomes the predicted one."""
     held = held_out()
     model = fit(docs.where(~held))
-    return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "text")
+    told = predict(own, model).where(F.col("lang_pred") != UNKNOWN)
+    return told.select(*[F.col("lang_pred" if c == "lang" else f"own.`{c}`").alias(c) for c in docs.columns])
