@@ -51,7 +51,8 @@ TEMPLATES: list[tuple[str, str]] = [
 CUE = r"(?i)licen[sc]|permission is|permission to|redistribut|public domain|\bspdx\b|free software"
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-+/][a-z0-9]+)*", re.I)
-_SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.\-+]+)")
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.\-+() \t]+)")
+_DECLARED = {name.lower(): name for name, _ in TEMPLATES}
 #: Identity of a license lies in these: a wording that has other ones is another license.
 _TELLING = re.compile(r"\d|^(?:mit|apache|gnu|lesser|affero|bsd|isc|mozilla|mpl|cc|cc0|by|by-\S+|nc|nd|sa|attribution\S*|unencumbered)$")
 
@@ -102,18 +103,17 @@ def differences(template: list[str], text: list[str]) -> tuple[int, int, int]:
     return min(best, key=lambda x: (x[0], x[2]))
 
 
-def scan(text: str, most_different: float = 0.15) -> list[tuple[str, float, int, int, str]]:
+def scan(text: str, most_different: float = 0.15) -> list[tuple[str, float | None, int, int, str]]:
     """``(license, saving, differing words, first line, text found)`` of each license found in ``text``, once a license, the best match of each.
 
     A template is aligned with the whole text wherever the text has enough of its words, so that neither the sentence or line around a notice nor
-    where its lines break matters. The wording decides; what the template saves of the stretch found ranks equal wordings.
+    where its lines break matters. The wording decides; what the template saves of the stretch found ranks equal wordings. A license
+    that the text only declares, by an SPDX line, has no saving.
     """
     found: dict[str, tuple[str, float, int, int, str]] = {}
     if not _CUE.search(text):
         return []
     line_of = lambda at: text.count("\n", 0, at)
-    for m in _SPDX.finditer(text):
-        found.setdefault(m[1], (m[1], 1.0, 0, line_of(m.start()), m[0]))
     places = [(m[0].lower(), m.start()) for m in _WORD.finditer(text)]
     own = [w for w, _ in places]
     there = Counter(own)
@@ -133,9 +133,19 @@ def scan(text: str, most_different: float = 0.15) -> list[tuple[str, float, int,
                 if old is None or (wrong, -saving) < (old[2], -old[1]):
                     found[name] = (name, round(saving, 6), wrong, line_of(places[a][1]), stretch)
                 break
+    for m in _SPDX.finditer(text):
+        for name in declared(m[1]):
+            found.setdefault(name, (name, None, 0, line_of(m.start()), m[0].strip()))
     return sorted(found.values(), key=lambda x: (x[3], x[0]))
 
 
+def declared(expression: str) -> list[str]:
+    """The licenses of the templates that an SPDX expression names, operators and ``-only`` or ``-or-later`` aside; other words are none."""
+    parts = re.sub(r"[()]", " ", expression).split()
+    names = [_DECLARED.get(re.sub(r"(?:-only|-or-later|\+)$", "", x.lower())) for x in parts]
+    return [x for x in dict.fromkeys(names) if x]
+
+
 def scan_licenses(docs: DataFrame, **how: float) -> DataFrame:
     """``(doc_id, license, saving, n_different, first_line, found)`` of every license of every row of ``docs(doc_id, text, ...)``.
 

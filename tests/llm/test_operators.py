@@ -75,6 +75,26 @@ def test_mixing(spark):
     assert mixing.mix(docs_table(spark, [(1, None, None, None)])).collect()[0].taken == 0
 
 
+def test_mixing_of_rows_without_ids(spark):
+    """Rows of one id, also equal ones, are taken in part; names of columns don't matter."""
+    rows = [(None, " ".join(["w"] * (1 + i % 5)) + (f" {i}" if i % 2 else ""), "en", f"s{i % 2}") for i in range(1000)]
+    docs = docs_table(spark, rows).withColumnsRenamed({"key": "mixed_id", "size": "mixed_copies", "bin": "own"})
+    by = defaultdict(int)
+    for x in mixing.mix(docs).collect():
+        by[x.target] += x.taken
+    assert len(by) == 2 and all(abs(taken - target) <= 0.02 * target for target, taken in by.items())
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns
+    assert sum(len(x.text.split()) for x in out.collect()) == sum(by.values())
+
+
+def test_letters_are_letters(spark):
+    assert all(langid.text_features(t) is None for t in ("½", "²³", "①②", "12 _ -", "", None)) and langid.text_features("½ a") is not None
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en", "s", 5), (2, "½", "en", "s", 1), (3, None, "en", "s", 1)], "doc_id long, text string, lang string, lang_pred string, score int")
+    got = langid.known_language(docs)
+    assert got.columns == docs.columns and [tuple(x) for x in got.collect()] == [(1, "the cat and the dog", "en", "s", 5)]
+
+
 def test_rates_meet_their_targets(spark):
     h = [("a", s, n) for s, n in [(1, 5), (10, 3), (400, 2)]]
     size = float(sum(s * n for _, s, n in h))
@@ -298,6 +318,18 @@ def test_recall_on_the_tables(spark):
     assert sum((q, i) in got for q in wanted for i, _ in wanted[q]) >= 0.9 * 5 * len(wanted)
 
 
+def test_ann_goes_on_until_it_has_enough(spark):
+    """2,000 equal vectors and three others: every query has its five."""
+    r = np.random.default_rng(1)
+    one = r.normal(size=8).tolist()
+    rows = [(i, one) for i in range(1, 2001)] + [(5000 + 50 * k, r.normal(size=8).tolist()) for k in range(3)]
+    got = defaultdict(list)
+    for x in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), probes=2).collect():
+        got[x.query_id].append((x.rank, x.vec_id))
+    assert len(got) == 43 and all(len(v) == 5 for v in got.values())
+    assert [v for _, v in sorted(got[50])] == [1, 2, 3, 4, 5]
+
+
 # --- 6 ---
 
 
@@ -527,7 +559,7 @@ def test_packing_keeps_near_copies_apart(spark):
         ("Released under the MIT License.", ["MIT"]), ("my essay. released under MIT license, bye", ["MIT"]), ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]),
         ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]), ("the license plate was red", []), ("", []), ("x\n" * 50_000 + "Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
         ("Licensed under the Apache License,\nVersion 2.0 (the 'License'); you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n http://www.apache.org/licenses/LICENSE-2.0", ["Apache-2.0"]),
-        ("SPDX-License-Identifier: ISC", ["ISC"]),
+        ("SPDX-License-Identifier: ISC", ["ISC"]), ("SPDX-License-Identifier: banana", []), ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\nx", ["Apache-2.0", "MIT"]), ("SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0"]),
     ],
 )
 def test_licenses(text, wanted):
