@@ -88,7 +88,7 @@ def parse(markup: str) -> Tree:
         if waiting:
             text = "".join(waiting)
             waiting.clear()
-            text = " ".join((html_lib.unescape(text) if "&" in text else text).split())
+            text = " ".join(text.split())
             if text:
                 runs.append((node, text))
 
@@ -106,7 +106,8 @@ def parse(markup: str) -> Tree:
             continue
         if start > pos:
             piece = markup[pos:start]
-            waiting.append(piece)
+            # each stretch of text on its own: references don't run across markup
+            waiting.append(html_lib.unescape(piece) if "&" in piece else piece)
             if link:
                 tree.link_chars[at] += len(piece)
         pos = m.end()
@@ -169,7 +170,7 @@ def parse(markup: str) -> Tree:
             elif name == "img":
                 tree.images[at] += 1
     if pos < end:
-        waiting.append(markup[pos:])
+        waiting.append(html_lib.unescape(markup[pos:]) if "&" in markup[pos:] else markup[pos:])
     flush(at)
     return tree
 
@@ -186,7 +187,7 @@ def features(tree: Tree) -> np.ndarray:
         own[node] += len(text)
         split = text.split(" ")
         words[node] += len(split)
-        stops[node] += sum(1 for w in split[:60] if w in _STOPS)
+        stops[node] += sum(1 for w in split if w in _STOPS)
         commas[node] += text.count(",") + text.count(". ") + text.endswith(".")
         marks[node] += text.count("|") + text.count("·") + text.count("»") + text.count("›")
         copyright_[node] |= "©" in text
@@ -318,8 +319,22 @@ def decode(parent: list[int], margin: np.ndarray) -> list[bool]:
     return out
 
 
+#: Tags and hint groups of what is no main text, if a page gives no other sign.
+_ASIDE_TAGS = {"nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu"}
+_ASIDE_HINTS = sum(1 << list(HINTS).index(k) for k in ("menu", "head", "foot", "side", "notice", "ad", "comment", "form", "share"))
+
+
+def plain_nodes(tree: Tree) -> list[bool]:
+    """Whether neither a node nor one above it is marked as something else than main text; for pages of which nothing else would stay."""
+    out = [True] * len(tree.tag)
+    for i in range(1, len(out)):
+        bits, hidden = _hints(tree.attrs[i]) if tree.attrs[i] else (0, False)
+        out[i] = out[tree.parent[i]] and tree.tag[i] not in _ASIDE_TAGS and not hidden and not bits & _ASIDE_HINTS
+    return out
+
+
 def main_texts(pages: list[str | None]) -> list[str]:
-    """Main text of each page; null, empty and textless markup give an empty text."""
+    """Main text of each page; null, empty and textless markup give an empty text, and others at least what isn't marked as something else."""
     trees = [parse(x or "") for x in pages]
     rows = [features(t) for t in trees]
     margin = Forest.load().margin(np.concatenate(rows)) if rows else np.zeros(0)
@@ -327,6 +342,8 @@ def main_texts(pages: list[str | None]) -> list[str]:
     for tree, x in zip(trees, rows):
         kept = decode(tree.parent, margin[at : at + len(x)])
         at += len(x)
+        if not any(kept[node] for node, _ in tree.runs):
+            kept = plain_nodes(tree)
         out.append("\n".join(text for node, text in tree.runs if kept[node]))
     return out
 

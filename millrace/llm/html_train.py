@@ -141,11 +141,16 @@ class Writer:
                 out.append(f'<figure><img src="x.jpg"><figcaption>{self.sentence(2, 9)}</figcaption></figure>')
             if r.random() < 0.05:
                 out.append(r.choice([self.ad, self.side, self.notice, self.form, self.share])())
+        if r.random() < 0.1:
+            out.append(self.links_in_text())
         if r.random() < 0.15:
             out.append(self.share())
         if r.random() < 0.12:
             out.append(self.comments())
         tag = "article" if self.semantic or r.random() < 0.3 else r.choice(["div", "div", "main", "section", "td"])
+        if len(out) > 2 and r.random() < 0.12:
+            cut, part = sorted(r.sample(range(1, len(out)), min(len(out) - 1, r.randint(1, 3)))), r.choice(["section", "div", "section"])
+            out = [f"<{part}>{''.join(out[a:b])}</{part}>" for a, b in zip([0, *cut], [*cut, len(out)])]
         inner = "".join(out)
         if tag == "td":
             return f'<table data-label="1"><tr><td{self.names("content")} data-label="1">{inner}</td></tr></table>'
@@ -153,8 +158,42 @@ class Writer:
             inner = f"<div{self.names('content')}>{inner}</div>"
         return f'<{tag}{self.names("content")} data-label="1">{inner}</{tag}>'
 
+    def bare(self) -> str:
+        """A page with hardly any markup: a heading or none, some paragraphs or loose text straight below the body, sometimes a footer or a menu."""
+        r, out = self.r, []
+        if r.random() < 0.5:
+            out.append(f"<h{r.choice('112')}>{self.sentence(1, 6)}</h1>")
+        for _ in range(r.choice([1, 1, 1, 2, 3, 6])):
+            text = self.prose(1, r.choice([1, 2, 5]))
+            out.append(r.choice([f"<p>{text}</p>", f"<p>{text}", f"<div>{text}</div>", f"{text}<br><br>", f"<h2>{self.sentence(1, 5)}</h2><p>{text}</p>"]))
+        if r.random() < 0.15:
+            out.append(self.links_in_text())
+        inner = "".join(out)
+        wrap = r.choice(["", "", "article", "main", "div", "center", "table"])
+        if wrap == "table":
+            links = " ".join(f"<a href=/{k}>{' '.join(self.words(1, 3))}</a>" for k in range(r.randint(2, 7)))
+            side = r.choice(["", f'<td data-label="0">{links}</td>', f'<td width=150 data-label="0">{self.links(r.randint(2, 8))}</td>'])
+            inner = f'<table data-label="1"><tr>{side}<td data-label="1">{inner}</td></tr>' + (f'<tr><td data-label="0">{r.choice(["Copyright", "&copy;", "(c)"])} {r.randint(1995, 2024)} {self.sentence(1, 4)}</td></tr>' if r.random() < 0.7 else "") + "</table>"
+        elif wrap:
+            inner = f'<{wrap} data-label="1">{inner}</{wrap}>'
+        before = self.menu() if r.random() < 0.3 else ""
+        after = self.foot() if r.random() < 0.4 else ""
+        return f"<html><body>{before}{inner}{after}</body></html>"
+
+    def split_content(self) -> str:
+        """Two or three parts of one text side by side, each with a heading of its own, in no common element."""
+        tag = self.r.choice(["section", "article", "div"])
+        return "".join(f'<{tag}{self.names("content")} data-label="1"><h{1 + (k > 0)}>{self.sentence(1, 6)}</h{1 + (k > 0)}><p>{self.prose(1, 4)}</p></{tag}>' for k in range(self.r.randint(2, 3)))
+
+    def links_in_text(self) -> str:
+        """A list of links that belongs to the text, below a sentence that leads to it."""
+        items = "".join(f'<li><a href="/s{k}">{self.sentence(2, 8)}</a>{self.r.choice(["", " " + self.sentence(2, 9)])}</li>' for k in range(self.r.randint(2, 5)))
+        return f"<p>{self.sentence(3, 12)}</p><ul>{items}</ul>"
+
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.15:
+            return self.bare()
         before, after = [], []
         for make, chance in ((self.head, 0.5), (self.menu, 0.75), (self.notice, 0.3), (self.ad, 0.45), (self.form, 0.2), (self.side, 0.15)):
             if r.random() < chance:
@@ -165,7 +204,8 @@ class Writer:
             if r.random() < chance:
                 after.append(make())
         comment = "<!-- ad 1 -->" if r.random() < 0.5 else ""
-        middle = "".join(before) + comment + self.content() + "".join(after[:-1])
+        content = "" if before and after and r.random() < 0.03 else self.split_content() if r.random() < 0.06 else self.content()
+        middle = "".join(before) + comment + content + "".join(after[:-1])
         end = after[-1] if after else ""
         wrap = r.random()
         if wrap < 0.3:
@@ -228,7 +268,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 5, rate: f
     return Forest(np.array(all_f), np.array(all_t, dtype=np.float32), np.array(all_l), bias)
 
 
-def train(pages: int = 1600, **how: float) -> Forest:
+def train(pages: int = 2000, **how: float) -> Forest:
     rows = [labelled(seed) for seed in range(pages)]
     return boost(np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows]), **how)
 
