@@ -55,4 +55,5 @@ def with_row(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """``docs`` with one row of each ``root`` of ``rooted(no_id, did, th, root)``: that of the smallest doc_id, nulls last, then of the smallest text hash."""
     first = rooted.groupBy("root").agg(F.min(F.struct(*ROW)).alias("o")).select("o.*")
-    return with_row(docs).join(first, list(ROW), "left_semi").dropDuplicates(list(ROW)).select(*docs.columns)
+    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "doc_id", "text")
+    return with_row(slim).join(first, list(ROW), "left_semi").dropDuplicates(list(ROW)).select("own.*")

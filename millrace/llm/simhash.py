@@ -14,8 +14,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import keep_first, with_row, written
+from millrace.llm.common import ROW, keep_first, with_row, written
 from millrace.llm.components import connected_components
+from millrace.llm.near_copies import near_copies
 
 BITS, SKETCH = 64, 1 << 16
 _ONE = np.uint64(1)
@@ -223,13 +224,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return of.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _of_rows(docs: DataFrame) -> DataFrame:
+    """``(no_id, did, th, root)`` of every document, see ``with_row``; ``root`` is a fingerprint of its component."""
+    rows = with_row(docs.select("doc_id", "text"))
+    prints = fingerprints(rows.select(F.struct(*ROW).alias("doc_id"), "text"))
+    of = written(prints, "fingerprints")
+    return of.join(_rooted(of), "fp").select("doc_id.*", "root")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, nulls last, then of the smallest text hash.
 
     Components are told apart by their fingerprints, not by ids: different texts under one id, or under none, each stay.
     """
-    rows = with_row(docs.select("doc_id", "text"))
-    prints = fingerprints(rows.select(F.struct("no_id", "did", "th").alias("doc_id"), "text"))
-    of = written(prints, "fingerprints")
-    by_fp = of.join(_rooted(of), "fp").select("doc_id.*", "root")
-    return keep_first(docs, by_fp)
+    return keep_first(docs, _of_rows(docs))
+
+
+def keep_one_of_copies(docs: DataFrame) -> DataFrame:
+    """``docs``, with columns of any names, with one row of each group of near copies, chosen as in :func:`keep_one`.
+
+    Groups are joined by fingerprints within 2 bits, and by a similarity of 0.8 or more of five-word shingles, which 64 bits alone can't tell (at 0.8
+    some 10 differ, so that most links would be missed or unrelated texts met). Null and empty texts are one group. An empty table gives an empty one.
+    """
+    near, prints = near_copies(docs), _of_rows(docs).distinct().withColumnRenamed("root", "print")
+    both = written(near.distinct().join(prints, list(ROW)), "near-and-prints")
+    least = both.groupBy("print").agg(F.min("root").alias("a"))
+    edges = both.select("print", F.col("root").alias("b")).distinct().join(least, "print").where("a <> b").select("a", "b")
+    merged = connected_components(written(edges, "merged-edges"))
+    rooted = both.join(merged, both.root == merged.node, "left").select(*ROW, F.coalesce(merged.root, both.root).alias("root"))
+    return keep_first(docs, rooted)

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from millrace.llm.common import scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,3 +56,18 @@ def test_near_dedup_keeps_one_of_each_group(spark):
 def test_near_dedup_drops_near_copies(spark):
     docs, rows, _ = small(spark)
     assert 101 not in {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+
+
+def test_stages_of_odd_tables(spark):
+    """Empty tables, repeated rows without ids, and further columns whose names the stages use inside, in every stage but the last."""
+    docs, rows, _ = small(spark)
+    odd = docs.where("doc_id < 12").unionByName(spark.createDataFrame([(None, "the tree is in the green house", "en", None, 5)] * 3, docs.schema))
+    names = {"n_lines": 1, "n_removed": 2, "score": 3, "lang_pred": 4, "root": 5, "no_id": 6, "did": 7, "th": 8, "copies": 9, "nth": 10, "own": 11, "its_key": 12, "gone": 13}
+    for name, value in names.items():
+        odd = odd.withColumn(name, F.lit(value))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, "")
+        assert got.columns == odd.columns, name
+        assert {tuple(r[c] for c in names) for r in got.collect()} == {tuple(names.values())}, name
+        assert stage(spark, docs.where("false"), "").count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, "").count() == odd.count()
