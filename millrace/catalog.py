@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import json
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -27,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Unset, a temporary one serves a local master alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.conf.get("spark.master", "local").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"file://{tempfile.mkdtemp()}").rstrip("/")
+
+
 def register(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -90,18 +100,18 @@ def css_selection_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", *map(one, ("first", "last", "third", "take2", "skip2", "slice12")), F.size("d").alias("n_distinct"), F.size("a").alias("n"), cssx.COLUMN_OPS["indexOf"](F.col("a"), F.try_element_at("second", F.lit(1))).alias("index_of_second"))
 
 
-@register("SELECT page_id, len(regexp_extract_all(html, '<li><a ')) AS li_with_a, len(regexp_extract_all(html, '<li>')) - 1 AS next_li, len(regexp_extract_all(html, '<a ')) AS in_nav, len(regexp_extract_all(html, '<li>')) AS closest_li, 0 AS matches_none, 0 AS bad_selector, 1 AS ul_parents FROM pages")
+@register("SELECT page_id, len(regexp_extract_all(html, '<li><a ')) AS li_with_a, len(regexp_extract_all(html, '<li>')) - 1 AS next_li, len(regexp_extract_all(html, '<a ')) AS in_nav, len(regexp_extract_all(html, '<li>')) AS closest_li, len(regexp_extract_all(html, '<div class=\"ad\">')) AS matches_ad, len(regexp_extract_all(html, '<li>')) AS not_ad, len(regexp_extract_all(html, '<nav><ul>')) AS ul_parents FROM pages")
 def css_filters_traversals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = {"li_with_a": ':count(:has("a", li))', "next_li": ":count(:next(li))", "in_nav": ':count(:within("nav", a))', "closest_li": ':count(:closest("li", a))', "matches_none": ':count(:matches(".x", li))', "bad_selector": ':count(:not("[", li))', "ul_parents": ":count(:distinct(:parent(li)))"}
+    names = {"li_with_a": ':count(:has("a", li))', "next_li": ":count(:next(li))", "in_nav": ':count(:within("nav", a))', "closest_li": ':count(:closest("li", a))', "matches_ad": ':count(:matches(".ad", div))', "not_ad": ':count(:not(".ad", li))', "ul_parents": ":count(:distinct(:parent(li)))"}
     found = cssx.query(table(spark, sf_dir, "pages"), names)
-    return found.select("page_id", *[F.col(c)[0].cast("long" if c not in ("matches_none", "bad_selector", "ul_parents") else "int").alias(c) for c in names])
+    return found.select("page_id", *[F.col(c)[0].cast("long").alias(c) for c in names])
 
 
-@register("SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS absolute FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) WHERE href LIKE '/%' AND href NOT LIKE '%&%'")
+@register(f"SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS absolute FROM (SELECT page_id, url, unnest({HREFS}) AS href FROM pages)")
 def css_abs_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cssx.query(table(spark, sf_dir, "pages"), {"u": ':url("href", a)', "h": ':attr("href", a)'})
-    pairs = found.select("page_id", F.explode(F.arrays_zip("u", "h")).alias("x"))
-    return pairs.where("x.h like '/%' and x.h not like '%&%'").select("page_id", F.col("x.u").alias("absolute"))
+    """The absolute form of every link; the links of these pages are all rooted, which SQL can resolve."""
+    found = cssx.query(table(spark, sf_dir, "pages"), {"u": ':url("href", a)'})
+    return found.select("page_id", F.explode("u").alias("absolute"))
 
 
 @register("SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<(p|li|a|h1|nav|footer|article|ul)[ >]', 1)) AS name FROM pages) GROUP BY name")
@@ -129,7 +139,7 @@ def xpath_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped(table(spark, sf_dir, "pages").select("page_id", "html"), ["html"], [("title", "string", pa.string()), ("items", "bigint", pa.int64())], one).drop("html")
 
 
-@register("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, 'ad' AS first_class, 'utf-8' AS charset, true AS is_element FROM pages")
+@register("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, '<div class=\"([^\"]*)\"', 1) AS first_class, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS charset, contains(html, '<h1>') AS is_element FROM pages")
 def html_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(html: str) -> tuple:
         page = html_api.html_parse(html)
@@ -305,29 +315,34 @@ _KINDS = "CASE event_id % 3 WHEN 0 THEN 'started' WHEN 1 THEN 'finished' ELSE 'f
 
 
 @register(
-    f"""WITH e AS (SELECT user_id AS session, ts, CAST(event_id // 3 AS VARCHAR) AS request_id, {_KINDS} AS kind FROM events),
-f AS (SELECT *, row_number() OVER (PARTITION BY session, request_id, kind ORDER BY ts) AS k FROM e),
-c AS (SELECT session, ts, sum(CASE WHEN k > 1 THEN 0 WHEN kind = 'started' THEN 1 ELSE -1 END) OVER w AS inflight, lead(ts) OVER (PARTITION BY session ORDER BY ts, request_id) AS nxt FROM f WINDOW w AS (PARTITION BY session ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING))
-SELECT session, ts + INTERVAL 500 MILLISECOND AS idle_at, CAST(inflight AS INTEGER) AS inflight FROM c WHERE inflight <= 0 AND (nxt IS NULL OR nxt >= ts + INTERVAL 500 MILLISECOND)"""
+    f"""WITH e AS (SELECT user_id AS session, ts, CAST(event_id % 7 AS VARCHAR) AS request_id, {_KINDS} AS kind FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, request_id, kind DESC) AS p FROM e),
+o AS (SELECT session, p AS from_p, coalesce(lead(p) OVER (PARTITION BY session, request_id ORDER BY p), 1000000000000) AS to_p, kind FROM n),
+c AS (SELECT n.session, n.ts, n.p, count(o.session) AS inflight FROM n LEFT JOIN o ON o.session = n.session AND o.kind = 'started' AND o.from_p <= n.p AND n.p < o.to_p GROUP BY ALL),
+l AS (SELECT *, lead(ts) OVER (PARTITION BY session ORDER BY p) AS nxt FROM c)
+SELECT session, ts + INTERVAL 500 MILLISECOND AS idle_at, CAST(inflight AS INTEGER) AS inflight FROM l WHERE inflight <= 0 AND (nxt IS NULL OR nxt >= ts + INTERVAL 500 MILLISECOND)"""
 )
 def network_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts", F.expr("cast(event_id div 3 as string)").alias("request_id"), F.expr(_KINDS).alias("kind"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts", F.expr("cast(event_id % 7 as string)").alias("request_id"), F.expr(_KINDS).alias("kind"))
     return streams.network_idle_batch(e)
 
 
-@register("SELECT DISTINCT event_type FROM events")
+@register("SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) = 1")
 def stream_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each type out of a replayed stream, as the sink has it when the stream has ended."""
-    import tempfile
-    import uuid
-
     src = table(spark, sf_dir, "events")
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/stream-{uuid.uuid4().hex[:8]}"
-    src.repartition(4).write.parquet(f"{root}/in")
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:8]}"
+    src.repartitionByRange("ts").write.parquet(f"{root}/in")
     events = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
-    first = events.dropDuplicates(["event_type"]).select("event_type")
-    first.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("event_type string").parquet(f"{root}/out")
+    # the least event of each type: a sum that a row a type holds, whatever order files arrive in
+    first = events.groupBy("event_type").agg(F.min(F.struct("ts", "event_id")).alias("o")).select("event_type", F.col("o.event_id").alias("event_id"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.parquet(f"{root}/out/batch={number:09d}", mode="overwrite")
+
+    first.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out")
+    return out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).select("event_type", "event_id")
 
 
 # --- documents ---

@@ -36,7 +36,7 @@ SHORT_META = "time,[rel='author'],[itemprop='author'],.byline,[class*='byline'],
 ALLOWED = set("a abbr article b blockquote br caption cite code dd del dfn div dl dt em figcaption figure h1 h2 h3 h4 h5 h6 header hr i img ins kbd li mark ol p pre q s samp section small span strong sub sup table tbody td tfoot th thead time tr u ul var wbr".split())
 ALLOWED_ATTRS = {"a": {"href"}, "blockquote": {"cite"}, "q": {"cite"}, "img": {"src", "alt", "height", "width"}, "time": {"datetime"}, "td": {"colspan", "rowspan"}, "th": {"colspan", "rowspan", "scope"}}
 SCHEMES = {"http", "https", "mailto", "tel"}
-LD_TYPES = {"article", "newsarticle", "blogposting", "report", "scholarlyarticle", "reportagenewsarticle", "techarticle"}
+LD_TYPES = {"article", "analysisnewsarticle", "blogposting", "newsarticle", "reportage", "scholarlyarticle", "techarticle"}
 META = {
     "title": "og:title twitter:title parsely-title title", "byline": "author article:author parsely-author", "excerpt": "description og:description twitter:description parsely-description",
     "siteName": "og:site_name application-name", "publishedAt": "article:published_time datepublished pubdate parsely-pub-date", "updatedAt": "article:modified_time datemodified lastmod parsely-modified-date",

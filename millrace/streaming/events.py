@@ -48,11 +48,17 @@ def idle_times(events: pd.DataFrame, quiet_ms: int, max_inflight: int) -> pd.Dat
 
 
 def network_idle_batch(events: DataFrame, quiet_ms: int = 500, max_inflight: int = 0, key: str = "session") -> DataFrame:
-    """``(key, idle_at, inflight)`` over a table of ``(key, ts, request_id, kind)``, in the JVM: in-flight counts and gaps by window functions."""
-    line = Window.partitionBy(key).orderBy("ts", "request_id")
-    first = F.row_number().over(Window.partitionBy(key, "request_id", "kind").orderBy("ts")) == 1
-    change = F.when(F.col("kind") == "started", 1).otherwise(-1)
-    counted = events.withColumn("change", F.when(first, change).otherwise(0)).withColumn("inflight", F.sum("change").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("ts").over(line))
+    """``(key, idle_at, inflight)`` over a table of ``(key, ts, request_id, kind)``, in the JVM: in-flight counts and gaps by window functions.
+
+    A start counts for a request that isn't open, an end for one that is: repeated starts and stray or repeated ends change nothing. Events of one
+    time go by request, starts first.
+    """
+    order = ["ts", "request_id", F.col("kind").desc()]
+    line = Window.partitionBy(key).orderBy(*order)
+    was_open = F.coalesce(F.lag("kind").over(Window.partitionBy(key, "request_id").orderBy(*order)) == "started", F.lit(False))
+    starts = F.col("kind") == "started"
+    change = F.when(starts & ~was_open, 1).when(~starts & was_open, -1).otherwise(0)
+    counted = events.withColumn("change", change).withColumn("inflight", F.sum("change").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("ts").over(line))
     end = F.col("ts") + F.make_dt_interval(secs=F.lit(quiet_ms / 1000))
     return counted.where((F.col("inflight") <= max_inflight) & (F.col("next").isNull() | (F.col("next") >= end))).select(key, end.alias("idle_at"), F.col("inflight").cast("int").alias("inflight"))
 
@@ -69,7 +75,7 @@ def network_idle(events: DataFrame, quiet_ms: int = 500, max_inflight: int = 0,
                 out.append((armed + quiet, len(active)))
             armed = None
         else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "request_id"], kind="stable")
+            rows = pd.concat(list(batches)).sort_values(["ts", "request_id", "kind"], ascending=[True, True, False], kind="stable")
             for ts, request, kind in rows[["ts", "request_id", "kind"]].itertuples(index=False):
                 if armed is not None and ts - armed >= quiet:
                     out.append((armed + quiet, len(active)))

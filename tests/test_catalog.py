@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from millrace import catalog
+from millrace import catalog, catalog_functions  # noqa: F401
 from millrace.plans.relational import TABLES
 
 SF = "/root/testdata/sf0.001"

@@ -166,3 +166,24 @@ def test_streams(spark, tmp_path):
     assert events.first_match(e, "kind = 'started'", "session").count() == 1
     row = spark.createDataFrame([(b"abc",)], "b binary").select(events.body(F.col("b"), 2).alias("x")).first().x
     assert bytes(row.body) == b"ab" and row.bodyTruncated
+
+
+def test_network_idle_of_stray_and_repeated_events(spark):
+    """The batch form against requests followed one by one: ends without a start, repeated ends and starts, events of one time."""
+    import random
+
+    import pandas as pd
+
+    r = random.Random(3)
+    rows = [("a", 0, "r1", "started"), ("a", 10, "r1", "finished"), ("a", 20, "r1", "failed"), ("a", 30, "r2", "started"), ("a", 2000, "r2", "finished")]
+    rows += [(f"s{r.randrange(4)}", 100 * r.randrange(200), f"r{r.randrange(4)}", r.choice(["started", "started", "finished", "failed"])) for _ in range(400)]
+    rows = sorted({(s, t, q): (s, t, q, k) for s, t, q, k in rows}.values(), key=lambda x: (x[0], x[1], x[2]))
+    at = lambda ms: pd.Timestamp("2024-01-01") + pd.Timedelta(milliseconds=ms)
+    df = spark.createDataFrame(pd.DataFrame([(s, at(t), q, k) for s, t, q, k in rows], columns=["session", "ts", "request_id", "kind"]))
+    for inflight in (0, 1):
+        wanted = set()
+        for s in {x[0] for x in rows}:
+            own = pd.DataFrame([(at(t), q, k) for x, t, q, k in rows if x == s], columns=["ts", "request_id", "kind"])
+            wanted |= {(s, x.idle_at.isoformat(), x.inflight) for x in events.idle_times(own, 500, inflight).itertuples()}
+        got = {(x.session, x.idle_at.isoformat(), x.inflight) for x in events.network_idle_batch(df, 500, inflight).collect()}
+        assert got == wanted and ("a", at(520).isoformat(), 0) not in got
