@@ -249,7 +249,9 @@ def look_up(archive: Archive, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     keys = wanted.select("url", F.col("page_id").cast("long").alias("page_id")).mapInArrow(keyed, "key string, page_id long").distinct()
-    line = keys.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    # the keys are small, the records they stand for aren't: a fixed number of parts keeps Spark from putting them together
+    parts = int(archive.spark.conf.get("spark.sql.shuffle.partitions"))
+    line = keys.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
     return line.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
