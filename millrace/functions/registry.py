@@ -43,7 +43,7 @@ FUNCTIONS: dict[str, Callable[..., Any]] = {
     "FRAMES": html_api.frames, "ATTR_GET": html_api.attr_get, "ATTR_QUERY": html_api.attr_query, "ATTR_REMOVE": html_api.attr_remove, "ATTR_SET": html_api.attr_set, "COOKIE_GET": html_api.cookie_get,
     "ELEMENT": html_api.element, "ELEMENT_EXISTS": html_api.element_exists, "ELEMENTS": html_api.elements, "ELEMENTS_COUNT": html_api.elements_count, "INNER_HTML": html_api.inner_html, "INNER_HTML_SET": html_api.inner_html_set, "INNER_HTML_ALL": html_api.inner_html_all,
     "INNER_TEXT": html_api.inner_text, "INNER_TEXT_SET": html_api.inner_text_set, "INNER_TEXT_ALL": html_api.inner_text_all, "PARSE": html_api.html_parse, "STYLE_GET": html_api.style_get, "STYLE_REMOVE": html_api.style_remove, "STYLE_SET": html_api.style_set,
-    "DB::POSTGRES::OPEN": sql_handle.postgres_options, "DB::SQLITE::OPEN": sql_handle.SqliteDatabase, "DB::REDIS::OPEN": redis_template.RedisConnection,
+    "DB::POSTGRES::OPEN": sql_handle.PostgresDatabase, "DB::SQLITE::OPEN": sql_handle.SqliteDatabase, "DB::REDIS::OPEN": redis_template.RedisConnection,
     **{f"DB::{db}::{name.upper()}": _method(name) for db in ("POSTGRES", "SQLITE") for name in ("close", "begin", "commit", "rollback")}, "DB::REDIS::CLOSE": _method("close"),
     "DOCUMENT::XLSX::CREATE": xlsx.Workbook, "DOCUMENT::XLSX::OPEN": xlsx.Workbook.open, **{f"DOCUMENT::XLSX::{n.upper()}": _method(n) for n in ("sheets", "save", "close", "sheet", "add_sheet", "delete_sheet", "get", "range", "append", "save_as", "set", "write_range")},
     "DOCUMENT::PDF::OPEN": _open_pdf, "ARCHIVE::LIST": archive.list_entries, "ARCHIVE::READ": archive.read_entry, "ARCHIVE::EXTRACT": archive.extract, "NET::REST::CLIENT": rest.RestClient,

@@ -1,10 +1,10 @@
-"""Queryable SQL: SQLite handles on the driver, SQL over Spark views, and JDBC settings for PostgreSQL."""
+"""Queryable SQL: SQLite handles on the driver, SQL over Spark views, and PostgreSQL over injected connections or JDBC."""
 
 from __future__ import annotations
 
 import re
 import sqlite3
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 from urllib.parse import quote
 
@@ -189,6 +189,114 @@ def postgres_options(given: Mapping[str, Any]) -> dict[str, str]:
     return out | ({"sslmode": o["sslMode"]} if o["sslMode"] else {})
 
 
+class _Rows:
+    """Statements with ``$n`` parameters over a connection of the Python database interface."""
+
+    def _connection(self) -> Any:
+        raise NotImplementedError
+
+    def query(self, text: str, params: Sequence[Any] | None = None, dialect: str = "sql") -> list[dict[str, Any]]:
+        if dialect not in ("sql", "sql_exec"):
+            raise ValueError(f"unknown dialect {dialect!r}")
+        plain, order = numbered_to_plain(text)
+        given = _params(params)
+        cursor = self._connection().cursor()
+        try:
+            cursor.execute(plain, [given[k - 1] for k in order])
+            if dialect == "sql_exec":
+                return [{"rowsAffected": max(0, cursor.rowcount)}]
+            if cursor.description is None:
+                raise ValueError("the statement gives no rows; use sql_exec")
+            names = [d[0] for d in cursor.description]
+            return [dict(zip(names, r)) for r in cursor.fetchall()]
+        finally:
+            cursor.close()
+
+    query_one, query_value, query_count, query_exists = Queryable.query_one, Queryable.query_value, Queryable.query_count, Queryable.query_exists
+    query_any = query_one
+
+
+class PostgresDatabase(_Rows):
+    """A handle over connections that ``connect(options)`` makes, one for the handle and one for each transaction; parameters are marked ``?`` there.
+
+    ``options`` are those of Spark's JDBC source, with which :meth:`table` reads in the executors. Without ``connect``, only that works.
+    """
+
+    def __init__(self, given: Mapping[str, Any], connect: Callable[[dict[str, str]], Any] | None = None) -> None:
+        self.options, self._connect, self._own, self._closed = postgres_options(given), connect, None, False
+        self._begun: list[PostgresTransaction] = []
+
+    def _check(self) -> None:
+        if self._closed:
+            raise HandleClosed("the database is closed")
+
+    def _new(self) -> Any:
+        self._check()
+        if self._connect is None:
+            raise NotSupported("statements from the driver need a connection; pass connect")
+        return self._connect(self.options)
+
+    def _connection(self) -> Any:
+        self._check()
+        if self._own is None:
+            self._own = self._new()
+        return self._own
+
+    def query(self, text: str, params: Sequence[Any] | None = None, dialect: str = "sql") -> list[dict[str, Any]]:
+        """Each statement is a transaction of its own."""
+        connection = self._connection()
+        try:
+            found = super().query(text, params, dialect)
+        except Exception:
+            connection.rollback()
+            raise
+        connection.commit()
+        return found
+
+    def begin(self) -> PostgresTransaction:
+        self._begun.append(PostgresTransaction(self._new()))
+        return self._begun[-1]
+
+    def close(self) -> bool:
+        """Rolls open transactions back; closing again does nothing."""
+        for t in self._begun:
+            if not t._done:
+                t.rollback()
+        if self._own is not None:
+            self._own.close()
+        self._own, self._closed, self._begun = None, True, []
+        return True
+
+    def table(self, spark: SparkSession, query: str) -> DataFrame:
+        self._check()
+        return spark.read.format("jdbc").options(**self.options).option("query", query).load()
+
+
+class PostgresTransaction(_Rows):
+    def __init__(self, connection: Any) -> None:
+        self._own, self._done = connection, False
+
+    def _connection(self) -> Any:
+        if self._done:
+            raise HandleClosed("the transaction has ended")
+        return self._own
+
+    def _end(self, how: str) -> bool:
+        connection = self._connection()
+        self._done = True
+        try:
+            getattr(connection, how)()
+        finally:
+            connection.close()
+        return True
+
+    def commit(self) -> bool:
+        return self._end("commit")
+
+    def rollback(self) -> bool:
+        return self._end("rollback")
+
+
 def numbered_to_plain(text: str) -> tuple[str, list[int]]:
     """``$n`` markers outside quotes and comments as ``?``, and the parameters' numbers in their order."""
     order: list[int] = []

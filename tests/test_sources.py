@@ -187,3 +187,35 @@ def test_network_idle_of_stray_and_repeated_events(spark):
             wanted |= {(s, x.idle_at.isoformat(), x.inflight) for x in events.idle_times(own, 500, inflight).itertuples()}
         got = {(x.session, x.idle_at.isoformat(), x.inflight) for x in events.network_idle_batch(df, 500, inflight).collect()}
         assert got == wanted and ("a", at(520).isoformat(), 0) not in got
+
+
+def test_postgres_handle_over_injected_connections(tmp_path):
+    """SQLite's connections stand in for PostgreSQL's: numbered parameters, transactions of their own, and closed handles."""
+    import sqlite3
+
+    from millrace.functions.errors import HandleClosed, NotSupported
+    from millrace.functions.registry import FUNCTIONS
+
+    given, seen = {"host": "h", "database": "d"}, []
+
+    def connect(options):
+        seen.append(options["url"])
+        return sqlite3.connect(tmp_path / "stand-in.db")
+
+    db = FUNCTIONS["DB::POSTGRES::OPEN"](given, connect)
+    db.query("CREATE TABLE t (id INTEGER, name TEXT)", dialect="sql_exec")
+    assert db.query("INSERT INTO t VALUES ($2, $1)", ["one", 1], "sql_exec") == [{"rowsAffected": 1}]
+    work = FUNCTIONS["DB::POSTGRES::BEGIN"](db)
+    work.query("INSERT INTO t VALUES (2, 'gone')", dialect="sql_exec")
+    assert FUNCTIONS["DB::POSTGRES::ROLLBACK"](work) and db.query_count("SELECT * FROM t") == 1
+    work = FUNCTIONS["DB::POSTGRES::BEGIN"](db)
+    work.query("INSERT INTO t VALUES (3, 'kept')", dialect="sql_exec")
+    assert FUNCTIONS["DB::POSTGRES::COMMIT"](work)
+    assert db.query("SELECT name FROM t WHERE id = $1 OR id = $1 + 2 ORDER BY id", [1]) == [{"name": "one"}, {"name": "kept"}]
+    with pytest.raises(HandleClosed):
+        work.query("SELECT 1")
+    assert FUNCTIONS["DB::POSTGRES::CLOSE"](db) and db.close() and set(seen) == {"jdbc:postgresql://h:5432/d"}
+    with pytest.raises(HandleClosed):
+        db.query("SELECT 1")
+    with pytest.raises(NotSupported):
+        FUNCTIONS["DB::POSTGRES::OPEN"](given).query("SELECT 1")
