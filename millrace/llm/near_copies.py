@@ -2,8 +2,8 @@
 
 A set is described by its size and its 64 shingles of the smallest hashes, a random sample of it. Shingles are ordered by their count over all
 samples, and a set meets others by the rarest of its sample: so many that, by the prefix principle, two samples with the overlap that similar sets have
-share one. Candidates whose lengths and samples admit a similarity of 0.8 are verified on the whole sets. Crowds are joined to a few leaders
-first, so that only texts of different components are compared after that.
+share one. Candidates whose lengths, 512-bit parities and samples admit a similarity of 0.8 are verified on the whole sets. Members of crowds are
+joined to the likest of a few leaders first, so that only texts of different components are compared after that.
 
 Sets of up to 51 shingles, whose partners are also held whole, have the exact overlap. Others count on 30 common shingles in their samples; a pair
 at a similarity of 0.8 has fewer with a chance of 1e-9.
@@ -12,7 +12,8 @@ at a similarity of 0.8 has fewer with a chance of 1e-9.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ from millrace.llm.components import connected_components
 NUM, DEN, WIDTH = 4, 5, 5
 #: Shingles of a sample; those that two samples have in common at least; sizes up to which a set and its partners are held whole.
 SAMPLE, OVERLAP, WHOLE = 64, 30, 51
+#: Bits of the parity of a set; two parities differ in no more bits than the sets do in shingles.
+PARITY = 512
+#: Sets of a shingle, in the order of a hash, that the others of this shingle are held against in one round.
+LEADERS = 16
 #: Texts are hashed in pieces of about so many bytes, cut between words.
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -84,16 +89,22 @@ def _identity(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).view(np.int64))
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Whether each class of shingles modulo ``PARITY`` has an odd number of them, in words of 64 bits."""
+    odd = np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _described(rows: DataFrame) -> DataFrame:
-    """``(no_id, did, th, cid, size, keys)``: each row with the identity, the size and the sample of its set."""
+    """``(no_id, did, th, cid, size, keys, parity)``: each row with the identity, the size, the sample and the parity of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(3).to_pylist()]
-            own = ([_identity(s) for s in sets], [len(s) for s in sets], [s[:SAMPLE].view(np.int64) for s in sets])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, own, (pa.int64(), pa.int32(), pa.list_(pa.int64())))], names=[*ROW, "cid", "size", "keys"])
+            own = ([_identity(s) for s in sets], [len(s) for s in sets], [s[:SAMPLE].view(np.int64) for s in sets], [_parity(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, own, (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=[*ROW, "cid", "size", "keys", "parity"])
 
-    return rows.mapInArrow(run, "no_id boolean, did long, th long, cid long, size int, keys array<long>")
+    return rows.mapInArrow(run, "no_id boolean, did long, th long, cid long, size int, keys array<long>, parity array<long>")
 
 
 def _entries(sets: DataFrame) -> DataFrame:
@@ -113,6 +124,16 @@ def _may_match(n: Column, m: Column) -> Column:
     return F.least(n, m) * DEN >= F.greatest(n, m) * NUM
 
 
+def _unlike(a: str, b: str) -> Column:
+    """Bits by which two parities differ."""
+    return reduce(add, [F.bit_count(F.get(f"{a}.parity", F.lit(i)).bitwiseXOR(F.get(f"{b}.parity", F.lit(i)))) for i in range(PARITY // 64)])
+
+
+def _may_differ(n: Column, m: Column) -> Column:
+    """Shingles that only one of two similar sets of these sizes has, at most."""
+    return n + m - 2 * F.floor(((n + m) * NUM + NUM + DEN - 1) / (NUM + DEN))
+
+
 def _alike(a: str, b: str) -> Column:
     """Whether two samples admit the similarity; exact for sets that they hold as a whole.
 
@@ -165,17 +186,22 @@ def near_copies(docs: DataFrame, rounds: int = 2) -> DataFrame:
     of = both.select(*ROW, "cid")
     firsts = of.groupBy("cid").agg(F.min(F.struct(*ROW)).alias("o")).select("cid", "o.*")
     by_key = Window.partitionBy("key")
-    sets = written(both.select("cid", "size", "keys").dropDuplicates(["cid"]), "near-sets")
+    sets = written(both.select("cid", "size", "keys", "parity").dropDuplicates(["cid"]), "near-sets")
     shared = written(_entries(sets), "near-shared")
     edges = docs.sparkSession.createDataFrame([], "a long, b long")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     for k in range(rounds + 1):
-        at = shared.join(roots, shared.cid == roots.node, "left").select("key", "n", "cid", F.coalesce("root", "cid").alias("comp"))
+        at = shared.join(roots, shared.cid == roots.node, "left").select("key", "n", "cid", "times", F.coalesce("root", "cid").alias("comp"))
+        fits = (F.col("x.key") == F.col("y.key")) & _may_match(F.col("x.n"), F.col("y.n")) & (_unlike("x", "y") <= _may_differ(F.col("x.n"), F.col("y.n")))
         if k < rounds:
-            lead = F.first(F.struct("n", "cid", "comp")).over(by_key.orderBy(F.xxhash64("cid", F.lit(k)), "cid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-            near = at.withColumn("lead", lead).where((F.col("comp") != F.col("lead.comp")) & _may_match(F.col("n"), F.col("lead.n")))
-            times = near.groupBy("cid", F.col("lead.cid").alias("to")).agg(F.count("*").alias("times"))
-            pairs = times.groupBy("cid").agg(F.max(F.struct("times", "to")).alias("best")).select(F.col("cid").alias("a"), F.col("best.to").alias("b"))
+            # each set by one of its shingles, the commonest first and any in later rounds, against the leaders of that shingle
+            by = F.xxhash64("key", F.lit(k)) if k else F.col("times")
+            own = at.groupBy("cid").agg(F.max(F.struct(by.alias("by"), "key", "n", "comp")).alias("o")).select("cid", "o.key", "o.n", "o.comp")
+            lead = at.withColumn("place", F.row_number().over(by_key.orderBy(F.xxhash64("cid", F.lit(k)), "cid"))).where(F.col("place") <= LEADERS).drop("place", "times")
+            parities = sets.select("cid", "parity")
+            x, y = own.join(parities, "cid").alias("x"), lead.join(parities, "cid").alias("y")
+            near = x.join(y, (F.col("x.comp") != F.col("y.comp")) & fits).select(F.col("x.cid").alias("cid"), F.struct(_unlike("x", "y").alias("unlike"), F.col("y.cid").alias("to")).alias("lead"))
+            pairs = near.groupBy("cid").agg(F.min("lead").alias("best")).select(F.least("cid", "best.to").alias("a"), F.greatest("cid", "best.to").alias("b")).distinct()
         else:
             # the largest component of a key is compared with the rest, not with itself
             sizes = written(at, "near-at").groupBy("key", "comp").agg(F.count("*").alias("size"))
@@ -184,15 +210,15 @@ def near_copies(docs: DataFrame, rounds: int = 2) -> DataFrame:
             # samples by the upper halves of their keys, which take half the room; a pair meets at its first common shingle alone
             half = lambda k: F.shiftright(k, 32).cast("int")
             own = shared.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("times", "key")))["key"].alias("line"))
-            halves = sets.select("cid", F.transform("keys", half).alias("sample")).join(own, "cid")
+            halves = sets.select("cid", "parity", F.transform("keys", half).alias("sample")).join(own, "cid")
             at = at.join(halves, "cid").where("key is not null")
             x, y = at.where("comp <> main").alias("x"), at.alias("y")
             wanted = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid")))
-            met = x.join(y, (F.col("x.key") == F.col("y.key")) & wanted & _may_match(F.col("x.n"), F.col("y.n")) & (F.get(F.array_intersect("x.line", "y.line"), F.lit(0)) == F.col("x.key")) & _alike("x", "y"))
+            met = x.join(y, wanted & fits & (F.get(F.array_intersect("x.line", "y.line"), F.lit(0)) == F.col("x.key")) & _alike("x", "y"))
             pairs = met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
         pairs = written(pairs, "near-pairs")
         if pairs.isEmpty():
-            break
+            continue
         edges = written(edges.unionByName(_similar(rows, firsts, pairs)), "near-edges")
         roots = connected_components(edges)
     return of.distinct().join(roots, of.cid == roots.node, "left").select(*ROW, F.coalesce("root", "cid").alias("root"))

@@ -486,6 +486,39 @@ def test_near_copies_against_brute_force(spark, seed, rounds):
 # --- 9 ---
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_parities_never_exceed_the_difference(seed):
+    rng = np.random.default_rng(seed)
+    for n in (0, 1, 5, 60, 600, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, n // 8, dtype=np.uint64)]))
+        bits = sum(int(x).bit_count() for x in (near_copies._parity(a) ^ near_copies._parity(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_copies_of_a_crowd_without_a_centre(spark, rounds):
+    """Copies of one text with none to three words of their own: many pairs are just not similar enough, and chains decide."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for at in rng.sample(range(90), rng.choice([0, 1, 1, 2, 2, 3])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    wanted = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4 and wanted[i] != wanted[j]:
+            old, new = max(wanted[i], wanted[j]), min(wanted[i], wanted[j])
+            wanted = [new if x == old else x for x in wanted]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {x.did: x.root for x in near_copies.near_copies(docs, rounds).collect()}
+    got = [min(k for k in root if root[k] == root[i]) for i in range(len(texts))]
+    assert got == wanted and 1 < len(set(wanted))
+
+
 def test_best_fit():
     bins, starts = packing.best_fit([6, 5, 4, 3, 2], [-1] * 5, [-1] * 5, 10)
     assert bins == [0, 1, 0, 1, 1] and starts == [0, 0, 6, 5, 8]
