@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -143,7 +144,9 @@ def write_archive(pages: DataFrame, min_revisit: int = 0, date: str = "1970-01-0
         part, rolled = None, 0
         for batch in batches:
             rows = []
-            for page_id, url, payload, digest, refers_to, again in zip(*(c.to_pylist() for c in batch.columns)):
+            # a few payloads at a time are Python objects beside the batch
+            few = (batch.slice(k, 64) for k in range(0, batch.num_rows, 64))
+            for page_id, url, payload, digest, refers_to, again in chain.from_iterable(zip(*(c.to_pylist() for c in x.columns)) for x in few):
                 if part is None or part.at >= file_bytes:
                     if part:
                         part.close()
