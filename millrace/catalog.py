@@ -65,6 +65,11 @@ def mapped(df: DataFrame, columns: list[str], to: list[tuple[str, str, pa.DataTy
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k, _ in to)]))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over four tasks a core, for rows of few bytes and much work, of which a few tasks would read all."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 # --- pages: selection pipelines ---
 
 

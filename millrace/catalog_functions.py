@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.catalog import DECODED, H1, HREFS, mapped, register, table
+from millrace.catalog import DECODED, H1, HREFS, mapped, register, spread, table
 from millrace.functions.registry import FUNCTIONS
 from millrace.operators import cssx, html_api
 
@@ -111,7 +111,7 @@ def article_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     src = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") % 900).cast("int")), "yyyy-MM-dd").alias("day"))
     to = {"title": "string", "byline": "string", "published": "string", "excerpt": "string", "in_text": "boolean", "in_markdown": "boolean"}
-    return by_row(src, ["p_partkey", "p_name", "p_brand", "day"], to, one, ["p_partkey"])
+    return by_row(spread(src), ["p_partkey", "p_name", "p_brand", "day"], to, one, ["p_partkey"])
 
 
 # --- codecs, tokens, sessions, peers ---

@@ -26,6 +26,12 @@ def duck():
     return con
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_article_fields_uses_all_cores(spark):
+    """One small file of parts is much work."""
+    assert catalog.QUERIES["article_fields"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):

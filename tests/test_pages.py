@@ -176,6 +176,16 @@ def test_article():
     assert article.extract("")["text"] is None
 
 
+def test_article_functions_extract_once(monkeypatch):
+    done, whole = [], article._extract
+    monkeypatch.setattr(article, "_extract", lambda root, url: done.append(url) or whole(root, url))
+    markup = "<article><h1>Once</h1>" + "<p>Some words of a paragraph that is read once for three functions.</p>" * 9 + "</article>"
+    found = FUNCTIONS["WEB::ARTICLE::EXTRACT"](markup, "http://h/")
+    found["tags"], found["text"] = ["changed"], "changed"
+    assert FUNCTIONS["WEB::ARTICLE::TEXT"](markup, "http://h/").startswith("Some words") and FUNCTIONS["WEB::ARTICLE::MARKDOWN"](markup, "http://h/").startswith("Some words")
+    assert done == ["http://h/"] and FUNCTIONS["WEB::ARTICLE::EXTRACT"](markup, "http://i/")["title"] == "Once" and done == ["http://h/", "http://i/"]
+
+
 def test_urls():
     assert urls.absolute("http://h/a/", "b") == "http://h/a/b" and urls.absolute(None, "b") is None and urls.parts("/rel") is None
     assert urls.base_url("http://h/a", "javascript:x") == "http://h/a"
