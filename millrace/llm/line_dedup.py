@@ -19,6 +19,8 @@ from millrace.llm.common import WORD, written
 
 #: Word counts by hash, 2**18 of them whatever the corpus; they only order words, so that shared cells cost time, never a link.
 CELLS_LOG = 18
+#: Sets of more words have a parity of each half of their words, others of all their words together.
+SHORT = 64
 #: No character of a word.
 _BLANK = r"[\x20\x09-\x0D]+"
 #: Places are broadcast while they take at most so many bytes; beyond, both sides are shuffled.
@@ -52,9 +54,10 @@ def _lines(docs: DataFrame) -> DataFrame:
 def rarity(docs: DataFrame) -> Column:
     """Ranks of word cells by the logarithm of their counts over all texts, in the upper 9 bits, as a scalar subquery of one array of fixed size."""
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(WORD))
-    words = lines.select(F.explode(_words(F.col("line"))).alias("word")).select(_cell(F.xxhash64("word")).alias("cell"), F.lit(1).cast("long").alias("n"))
+    words = lines.select(F.explode(_words(F.col("line"))).alias("word")).select(_cell(F.xxhash64("word")).alias("cell"))
     every = docs.sparkSession.range(1 << CELLS_LOG).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n"))
-    counts = words.unionByName(every).groupBy("cell").agg(F.sum("n").alias("n"))
+    # words are counted before the union, which would end the compiled stage that splits and hashes them
+    counts = words.groupBy("cell").agg(F.count("*").alias("n")).unionByName(every).groupBy("cell").agg(F.sum("n").alias("n"))
     rank = F.shiftleft(F.floor(F.log2(F.col("n") + 1) * 4).cast("long"), 55)
     line = written(counts.select("cell", rank.alias("rank")).agg(F.sort_array(F.collect_list(F.struct("cell", "rank")))["rank"].alias("a")), "line-ranks")
     return line.scalar()
@@ -74,27 +77,35 @@ def _at_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
     return found.select(F.explode(F.array(F.split("text", "\n"))).alias("lines"), "at").select(F.inline(pick))
 
 
+def _column(value: Column) -> Column:
+    """``value`` as a column of its own: what Spark interprets, such as a lambda, then doesn't make it interpret the sorting and comparing around it."""
+    return F.explode(F.array(value))
+
+
 def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
     """``(id, keys)``: the distinct words of each line by sorted 63-bit keys, rarer words first, those of equal rank by their hash."""
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    keyed = F.transform(hashes, lambda h: F.get(F.col("ranks"), _cell(h)).bitwiseOR(F.shiftrightunsigned(h, 9)))
+    hashes = lines.select("id", _column(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))).alias("hashes"))
+    # never null, so that keys are sorted as plain numbers
+    key = lambda h: F.coalesce(F.get(F.col("ranks"), _cell(h)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 9))
     # two projections that become one: the ranks stay a reference within the expression and are no column of any row
-    return lines.select("id", "line", ranks.alias("ranks")).select("id", F.sort_array(keyed).alias("keys"))
-
+    keyed = hashes.select("id", "hashes", ranks.alias("ranks")).select("id", F.transform("hashes", key).alias("keyed"))
+    return keyed.select("id", _column(F.sort_array("keyed")).alias("keys"))
 
-def _entries(sets: DataFrame) -> DataFrame:
-    """A row for each prefix word of each set: ``(id, n, sig, sig2, pos, key)``."""
-
-    def described(k: Column) -> Column:
-        n = F.size(k)
 
-        def parity(half: int) -> Column:
-            bit = lambda x: F.shiftrightunsigned(x if half else F.bitwise_not(x), 6).bitwiseAND(F.lit(1).cast("long"))
-            return F.aggregate(k, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", bit(x), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+def _parity(keys: Column, bits: list[int]) -> Column:
+    """The exclusive or of the ``bits`` at the lowest bits of each key; a table, as it takes Spark fewer steps a word than shifting."""
+    table = F.array(*[F.lit(b).cast("long") for b in bits])
+    at = lambda x: x.bitwiseAND(F.lit(len(bits) - 1).cast("long")).cast("int")
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.get(table, at(x))))
 
-        return F.struct(n.alias("n"), parity(0).alias("sig"), parity(1).alias("sig2"), F.slice(k, F.lit(1), n - F.floor((n * 4 + 4) / 5).cast("int") + 1).alias("prefix"))
 
-    one = sets.select("id", F.inline(F.transform(F.array("keys"), described)))
+def _entries(sets: DataFrame) -> DataFrame:
+    """A row for each prefix word of each set: ``(id, n, sig, sig2, pos, key)``; ``sig`` is the parity of all words, ``sig2`` of one half of them in sets of over ``SHORT`` words."""
+    one_bit = [(1 << k) - ((k == 63) << 64) for k in range(64)]
+    keys, n = F.col("keys"), F.size("keys")
+    sig2 = F.when(n > SHORT, _parity(keys, [0] * 64 + one_bit)).otherwise(F.lit(0).cast("long"))
+    prefix = F.slice(keys, F.lit(1), n - F.floor((n * 4 + 4) / 5).cast("int") + 1)
+    one = sets.select("id", n.alias("n"), _parity(keys, one_bit).alias("sig"), sig2.alias("sig2"), prefix.alias("prefix"))
     # the condition is what the join adds, so that all uses share one exchange
     return one.select("id", "n", "sig", "sig2", F.posexplode("prefix").alias("pos", "key")).where("key is not null")
 
@@ -106,7 +117,8 @@ def _may_match(a: str, b: str) -> Column:
     total = n + m
     reach = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
     differ = total - 2 * F.floor((total * 4 + 8) / 9)
-    unlike = F.bit_count(col(a, "sig").bitwiseXOR(col(b, "sig"))) + F.bit_count(col(a, "sig2").bitwiseXOR(col(b, "sig2")))
+    every, half = (col(a, c).bitwiseXOR(col(b, c)) for c in ("sig", "sig2"))
+    unlike = F.when(F.least(n, m) > SHORT, F.bit_count(every.bitwiseXOR(half)) + F.bit_count(half)).otherwise(F.bit_count(every))
     return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (reach * 9 >= total * 4) & (unlike <= differ)
 
 

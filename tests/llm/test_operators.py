@@ -245,6 +245,32 @@ def test_line_dedup_long_texts(spark):
     assert got[3].text.split("\n")[0] == next(iter(kept.values()))[0].split("\n")[0]
 
 
+def test_line_dedup_parities(spark):
+    """Keys can't be null, so that they are sorted as plain numbers; parities never tell more differences than there are, on both sides of ``SHORT``."""
+    r = random.Random(7)
+    rows = []
+    for i in range(60):
+        words = [f"w{i}x{k}" for k in range(line_dedup.SHORT - 8 + i % 17)]
+        rows.append((2 * i, " ".join(words), "en", "s"))
+        near = [w for w in words if r.random() > 0.1] + [f"v{i}x{k}" for k in range(r.randint(0, 9))]
+        r.shuffle(near)
+        rows.append((2 * i + 1, " ".join(near + near[:3]), "en", "s"))
+    docs = docs_table(spark, rows)
+    lines = docs.selectExpr("doc_id id", "text line")
+    sets = line_dedup._sets(lines, line_dedup.rarity(docs))
+    assert not sets.schema["keys"].dataType.containsNull
+    keys = {x.id: x["keys"] for x in sets.collect()}
+    assert all(k == sorted(set(k)) and len(k) == len(set(rows[i][1].split())) for i, k in keys.items())
+    sigs = {x.id: (x.n, x.sig, x.sig2) for x in line_dedup._entries(sets).collect()}
+    ones = lambda x: bin(x & (1 << 64) - 1).count("1")
+    for i in range(0, 120, 2):
+        (n, a, b), (m, c, d) = sigs[i], sigs[i + 1]
+        apart = ones(a ^ c ^ b ^ d) + ones(b ^ d) if min(n, m) > line_dedup.SHORT else ones(a ^ c)
+        assert apart <= len(set(keys[i]) ^ set(keys[i + 1]))
+    got = {x.doc_id: (x.text, x.n_lines, x.n_removed) for x in line_dedup.dedup_lines(docs).collect()}
+    assert got == {i: v for (i, _), v in brute_lines(rows).items()} and 0 < sum(v[2] for v in got.values()) < 60
+
+
 # --- 5, 7 ---
 
 
