@@ -198,6 +198,7 @@ def known_language(docs: DataFrame) -> DataFrame:
     """``docs``, with columns of any names, without the rows whose language can't be told (``und``: null texts and those without a letter); ``lang`` becomes the predicted one."""
     held = held_out()
     model = fit(docs.where(~held))
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "text")
-    told = predict(own, model).where(F.col("lang_pred") != UNKNOWN)
-    return told.select(*[F.col("lang_pred" if c == "lang" else f"own.`{c}`").alias(c) for c in docs.columns])
+    # the text goes to Python and back once, the other columns beside it under numbers
+    named = {c: "text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns) if c != "lang"}
+    told = predict(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()]), model).where(F.col("lang_pred") != UNKNOWN)
+    return told.select(*[F.col(named.get(c, "lang_pred")).alias(c) for c in docs.columns])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import ROW, keep_first, with_row, written
+from millrace.llm.common import ROW, TEXTS, keep_first, with_row, written
 from millrace.llm.components import connected_components
 
 #: Similar: a Jaccard similarity of NUM / DEN or more.
@@ -182,7 +182,7 @@ def near_copies(docs: DataFrame, rounds: int = 2) -> DataFrame:
     ``rounds`` of leaders only save comparisons: what they leave in different components is compared in full.
     """
     rows = with_row(docs.select("doc_id", "text")).select(*ROW, "text")
-    both = written(_described(rows), "near-rows")
+    both = written(_described(rows), "near-rows", TEXTS)
     of = both.select(*ROW, "cid")
     firsts = of.groupBy("cid").agg(F.min(F.struct(*ROW)).alias("o")).select("cid", "o.*")
     by_key = Window.partitionBy("key")
@@ -219,7 +219,7 @@ def near_copies(docs: DataFrame, rounds: int = 2) -> DataFrame:
         pairs = written(pairs, "near-pairs")
         if pairs.isEmpty():
             continue
-        edges = written(edges.unionByName(_similar(rows, firsts, pairs)), "near-edges")
+        edges = written(edges.unionByName(_similar(rows, firsts, pairs)), "near-edges", TEXTS)
         roots = connected_components(edges)
     return of.distinct().join(roots, of.cid == roots.node, "left").select(*ROW, F.coalesce("root", "cid").alias("root"))
 

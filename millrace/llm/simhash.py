@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ROW, keep_first, with_row, written
+from millrace.llm.common import ROW, TEXTS, keep_first, with_row, written
 from millrace.llm.components import connected_components
 from millrace.llm.near_copies import near_copies
 
@@ -228,7 +228,7 @@ def _of_rows(docs: DataFrame) -> DataFrame:
     """``(no_id, did, th, root)`` of every document, see ``with_row``; ``root`` is a fingerprint of its component."""
     rows = with_row(docs.select("doc_id", "text"))
     prints = fingerprints(rows.select(F.struct(*ROW).alias("doc_id"), "text"))
-    of = written(prints, "fingerprints")
+    of = written(prints, "fingerprints", TEXTS)
     return of.join(_rooted(of), "fp").select("doc_id.*", "root")
 
 

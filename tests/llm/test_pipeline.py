@@ -6,8 +6,10 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
-from millrace.llm.common import scratch
+from millrace.llm import langid, near_copies, simhash
+from millrace.llm.common import TEXTS, scratch, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -71,3 +73,35 @@ def test_stages_of_odd_tables(spark):
         assert {tuple(r[c] for c in names) for r in got.collect()} == {tuple(names.values())}, name
         assert stage(spark, docs.where("false"), "").count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, odd, "").count() == odd.count()
+
+
+def test_python_steps_hold_few_texts(spark, monkeypatch):
+    """Steps of near_dedup that hold whole texts get them in small batches, and the session's setting stays as it was."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    seen = written(spark.range(3000).coalesce(1).mapInArrow(sizes, "n long"), "batch-test", TEXTS).agg(F.max("n"), F.sum("n")).first()
+    assert seen[0] <= TEXTS and seen[1] == 3000 and spark.conf.get(key) == before
+    bounds = {}
+
+    def spy(df, name, batch=None):
+        bounds[name] = batch
+        return written(df, name, batch)
+
+    monkeypatch.setattr(near_copies, "written", spy)
+    monkeypatch.setattr(simhash, "written", spy)
+    docs, *_ = small(spark)
+    corpus_pipeline.near_dedup(spark, docs, "").count()
+    assert {bounds[name] for name in ("near-rows", "near-edges", "fingerprints")} == {TEXTS}
+
+
+def test_language_id_sends_each_text_once(spark, monkeypatch):
+    told, predict = [], langid.predict
+    monkeypatch.setattr(langid, "predict", lambda docs, model: told.append(docs.schema.simpleString()) or predict(docs, model))
+    docs, *_ = small(spark)
+    corpus_pipeline.language_id(spark, docs, "").count()
+    assert told[0].count("string") == 2, "text and source"
