@@ -55,20 +55,20 @@ def text_features(text: str | None) -> np.ndarray | None:
     return x / np.linalg.norm(x)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, epochs: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights (the last is the bias) of a linear SVM with hinge loss; ``y`` is 1 or -1. Averaged Pegasos in small batches, classes weighted evenly."""
+def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, l2: float = 1e-4, epochs: int = 12, seed: int = 7) -> np.ndarray:
+    """Weights of a linear SVM with hinge loss on the ``rows`` of ``x``, whose last column is the bias's; ``y`` is 1 or -1. Averaged Pegasos in small batches, classes weighted evenly."""
     rng, n = np.random.default_rng(seed), len(y)
-    x1 = np.concatenate([x, np.full((n, 1), 0.2, dtype=x.dtype)], axis=1)
     weight = np.where(y > 0, n / (2 * max((y > 0).sum(), 1)), n / (2 * max((y < 0).sum(), 1)))
-    w, mean, t, size = np.zeros(x1.shape[1]), np.zeros(x1.shape[1]), 0, 64
+    w, mean, t, size = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0, 64
     for epoch in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, size):
             k, t = order[at : at + size], t + 1
             rate = 1 / (l2 * (t + 100))
-            bad = y[k] * (x1[k] @ w) < 1
+            part = x[rows[k]]
+            bad = y[k] * (part @ w) < 1
             w *= 1 - rate * l2
-            w += (rate / len(k)) * ((weight[k] * y[k] * bad) @ x1[k])
+            w += (rate / len(k)) * ((weight[k] * y[k] * bad) @ part)
             w *= min(1.0, 1 / math.sqrt(l2) / max(np.linalg.norm(w), 1e-12))
             if epoch >= epochs // 2:
                 mean += w
@@ -139,18 +139,23 @@ def fit(labelled: DataFrame, per_language: int = 600) -> Model | None:
     rows = _features_of(known.where(spot <= share), F.col("lang")).limit(2 * per_language * len(counts)).collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r.lang, bytes(r.x)))  # whatever order they came in
+    rows.sort(key=lambda r: (r.lang, r.x))  # whatever order they came in
     lang = np.array([r.lang for r in rows])
-    x = np.stack([np.frombuffer(r.x, dtype=np.float16) for r in rows]).astype(np.float32)
+    # held once, with a last column of the threshold; the rows go as soon as they lie in it
+    x = np.full((len(rows), DIM + 1), 0.2, dtype=np.float32)
+    for k, r in enumerate(rows):
+        x[k, :DIM] = np.frombuffer(r.x, dtype=np.float16)
+    del rows
+    every = np.arange(len(x))
     of = np.array([family(a) for a in lang])
     families = sorted(set(of))
     languages = {f: sorted(set(lang[of == f])) for f in families}
-    outer = np.stack([fit_svm(x, np.where(of == f, 1, -1)) for f in families]) if len(families) > 1 else np.zeros((1, DIM + 1))
+    outer = np.stack([fit_svm(x, every, np.where(of == f, 1, -1)) for f in families]) if len(families) > 1 else np.zeros((1, DIM + 1))
     pairs = {}
     for f in families:
         for a, b in combinations(languages[f], 2):
-            on = (lang == a) | (lang == b)
-            pairs[a, b] = fit_svm(x[on], np.where(lang[on] == a, 1, -1))
+            on = np.nonzero((lang == a) | (lang == b))[0]
+            pairs[a, b] = fit_svm(x, on, np.where(lang[on] == a, 1, -1))
     return Model(families, languages, outer.astype(np.float32), {k: v.astype(np.float32) for k, v in pairs.items()})
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from millrace.llm import langid, near_copies, simhash
@@ -105,3 +107,16 @@ def test_language_id_sends_each_text_once(spark, monkeypatch):
     docs, *_ = small(spark)
     corpus_pipeline.language_id(spark, docs, "").count()
     assert told[0].count("string") == 2, "text and source"
+
+
+def test_fit_takes_no_copy_of_the_sample():
+    """A fit on some rows of the sample works on the sample itself: beside it, it takes much less than those rows."""
+    r = np.random.default_rng(1)
+    x = r.random((1000, langid.DIM + 1), dtype=np.float32)
+    rows = np.arange(0, 1000, 2)
+    y = np.where(x[rows, 0] > 0.5, 1, -1)
+    tracemalloc.start()
+    w = langid.fit_svm(x, rows, y, epochs=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x[rows].nbytes / 2 and np.array_equal(w, langid.fit_svm(x[rows], np.arange(500), y, epochs=2))
