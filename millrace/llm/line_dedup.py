@@ -23,7 +23,7 @@ CELLS_LOG = 18
 SHORT = 64
 #: No character of a word.
 _BLANK = r"[\x20\x09-\x0D]+"
-#: Places are broadcast while they take at most so many bytes; beyond, both sides are shuffled.
+#: Places, and ids of lines, are broadcast while they take at most so many bytes; beyond, both sides are shuffled.
 SMALL = 64 << 20
 #: Places in their order: documents by id, those of one id by a hash of their texts, and lines within them.
 _PLACE = ("no_id", "did", "th", "line_no")
@@ -51,18 +51,23 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "no_id", "did", "line_no", "th")
 
 
-def rarity(docs: DataFrame) -> Column:
-    """Ranks of word cells by the logarithm of their counts over all texts, in the upper 9 bits, as a scalar subquery of one array of fixed size."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(WORD))
-    words = lines.select(F.explode(_words(F.col("line"))).alias("word")).select(_cell(F.xxhash64("word")).alias("cell"))
-    every = docs.sparkSession.range(1 << CELLS_LOG).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n"))
-    # words are counted before the union, which would end the compiled stage that splits and hashes them
+def _ranks(hashed: DataFrame) -> Column:
+    """Ranks of word cells by the logarithm of their counts over all lines, in the upper 9 bits, as a scalar subquery of one array of fixed size."""
+    words = hashed.select(F.explode("hashes").alias("h")).select(_cell(F.col("h")).alias("cell"))
+    every = hashed.sparkSession.range(1 << CELLS_LOG).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n"))
+    # words are counted before the union, which would end the compiled stage that takes the arrays apart
     counts = words.groupBy("cell").agg(F.count("*").alias("n")).unionByName(every).groupBy("cell").agg(F.sum("n").alias("n"))
     rank = F.shiftleft(F.floor(F.log2(F.col("n") + 1) * 4).cast("long"), 55)
     line = written(counts.select("cell", rank.alias("rank")).agg(F.sort_array(F.collect_list(F.struct("cell", "rank")))["rank"].alias("a")), "line-ranks")
     return line.scalar()
 
 
+def rarity(docs: DataFrame) -> Column:
+    """:func:`_ranks` of every line of ``docs``."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(WORD))
+    return _ranks(_hashed(lines.select(F.lit(0).alias("id"), "line")))
+
+
 def _by_doc(places: DataFrame, name: str) -> DataFrame:
     """Written ``(no_id, did, th, at)``: the lines of each document as an array of ``(line_no, id)``."""
     return written(places.groupBy("no_id", "did", "th").agg(F.collect_list(F.struct("line_no", "id")).alias("at")), name)
@@ -82,30 +87,37 @@ def _column(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """``(id, keys)``: the distinct words of each line by sorted 63-bit keys, rarer words first, those of equal rank by their hash."""
-    hashes = lines.select("id", _column(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))).alias("hashes"))
-    # never null, so that keys are sorted as plain numbers
-    key = lambda h: F.coalesce(F.get(F.col("ranks"), _cell(h)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 9))
+def _hashed(lines: DataFrame) -> DataFrame:
+    """``(id, hashes)``: the hashes of the distinct words of each line."""
+    return lines.select("id", _column(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))).alias("hashes"))
+
+
+def _keyed(hashed: DataFrame, ranks: Column) -> DataFrame:
+    """``(id, keys)``: sorted 63-bit keys of the words of :func:`_hashed`, rarer words first, those of equal rank by their hash."""
+    # never null, so that keys are sorted as plain numbers, also where the hashes were written and read
+    key = lambda h: F.coalesce(F.get(F.col("ranks"), _cell(h)).bitwiseOR(F.shiftrightunsigned(h, 9)), F.lit(0).cast("long"))
     # two projections that become one: the ranks stay a reference within the expression and are no column of any row
-    keyed = hashes.select("id", "hashes", ranks.alias("ranks")).select("id", F.transform("hashes", key).alias("keyed"))
+    keyed = hashed.select("id", "hashes", ranks.alias("ranks")).select("id", F.transform("hashes", key).alias("keyed"))
     return keyed.select("id", _column(F.sort_array("keyed")).alias("keys"))
 
 
-def _parity(keys: Column, bits: list[int]) -> Column:
-    """The exclusive or of the ``bits`` at the lowest bits of each key; a table, as it takes Spark fewer steps a word than shifting."""
-    table = F.array(*[F.lit(b).cast("long") for b in bits])
-    at = lambda x: x.bitwiseAND(F.lit(len(bits) - 1).cast("long")).cast("int")
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.get(table, at(x))))
+def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
+    return _keyed(_hashed(lines), ranks)
+
+
+def _parity(keys: Column, half: bool = False) -> Column:
+    """The exclusive or of one of 64 bits of each key, or of each key of one half; shifting takes a hash's lowest bits, in fewer steps a word than by masks and tables."""
+    flip = lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(x)))
+    step = (lambda acc, x: F.when(x.bitwiseAND(F.lit(64).cast("long")) == 0, acc).otherwise(flip(acc, x))) if half else flip
+    return F.aggregate(keys, F.lit(0).cast("long"), step)
 
 
 def _entries(sets: DataFrame) -> DataFrame:
     """A row for each prefix word of each set: ``(id, n, sig, sig2, pos, key)``; ``sig`` is the parity of all words, ``sig2`` of one half of them in sets of over ``SHORT`` words."""
-    one_bit = [(1 << k) - ((k == 63) << 64) for k in range(64)]
     keys, n = F.col("keys"), F.size("keys")
-    sig2 = F.when(n > SHORT, _parity(keys, [0] * 64 + one_bit)).otherwise(F.lit(0).cast("long"))
+    sig2 = F.when(n > SHORT, _parity(keys, half=True)).otherwise(F.lit(0).cast("long"))
     prefix = F.slice(keys, F.lit(1), n - F.floor((n * 4 + 4) / 5).cast("int") + 1)
-    one = sets.select("id", n.alias("n"), _parity(keys, one_bit).alias("sig"), sig2.alias("sig2"), prefix.alias("prefix"))
+    one = sets.select("id", n.alias("n"), _parity(keys).alias("sig"), sig2.alias("sig2"), prefix.alias("prefix"))
     # the condition is what the join adds, so that all uses share one exchange
     return one.select("id", "n", "sig", "sig2", F.posexplode("prefix").alias("pos", "key")).where("key is not null")
 
@@ -129,16 +141,19 @@ def _same(a: str, b: str) -> Column:
 def near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``(id)`` of the written ``classes`` of lines that have an earlier similar one; ids rise with the first place.
 
+    Lines are split and hashed once; their words are counted, and made keys of, from the written hashes.
     Entries that some other line's entry matches by the filters are what later steps work on. The rarest and the
     commonest of these of each line meet with whole sets first, which settles most copies. Lines still open are then held against every earlier line that the filters admit.
     """
-    ranks = rarity(docs)
-    entries = _entries(_sets(_at_lines(docs, _by_doc(classes, "line-firsts")), ranks))
+    hashed = written(_hashed(_at_lines(docs, _by_doc(classes, "line-firsts"))), "line-words", plain=True)
+    ranks = _ranks(hashed)
+    entries = _entries(_keyed(hashed, ranks))
     meet = (F.col("x.key") == F.col("y.key")) & _may_match("x", "y")
     later = F.col("x.id") > F.col("y.id")
     x, y = entries.alias("x"), entries.alias("y")
-    some = written(x.join(y, meet & (F.col("x.id") != F.col("y.id")), "left_semi"), "line-candidates")
-    sets = written(_sets(_at_lines(docs, _by_doc(classes.join(some.select("id").distinct(), "id", "left_semi"), "line-open")), ranks), "line-sets")
+    some = written(x.join(y, meet & (F.col("x.id") != F.col("y.id")), "left_semi"), "line-candidates", plain=True)
+    ids = written(some.select("id").distinct(), "line-open")
+    sets = written(_keyed(hashed.join(F.broadcast(ids) if ids.count() * 64 <= SMALL else ids, "id", "left_semi"), ranks), "line-sets", plain=True)
     rarest = some.groupBy("id").agg(F.min("key").alias("least"), F.max("key").alias("most"))
     few = some.join(rarest, "id").where("key = least or key = most").select(*some.columns).join(sets, "id").where("key is not null")
     x, y = few.alias("x"), few.alias("y")
@@ -155,7 +170,7 @@ def dropped_classes(docs: DataFrame) -> DataFrame:
     """``(h1, h2, no_id, did, th, line_no, near)`` of the distinct lines that occur twice or have an earlier similar line (``near``), with their first place."""
     first = _lines(docs).groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("o"), F.count("*").alias("times"))
     line = first.select("h1", "h2", "o.*", "times").repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE)
-    classes = written(line.withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    classes = written(line.withColumn("id", F.monotonically_increasing_id()), "line-classes", plain=True)
     near = near_lines(docs, classes).withColumn("near", F.lit(True))
     out = classes.join(near, "id", "left").where("times > 1 or near")
     return out.select("h1", "h2", *_PLACE, F.coalesce("near", F.lit(False)).alias("near"))

@@ -271,6 +271,19 @@ def test_line_dedup_parities(spark):
     assert got == {i: v for (i, _), v in brute_lines(rows).items()} and 0 < sum(v[2] for v in got.values()) < 60
 
 
+def test_line_dedup_splits_lines_once(spark, monkeypatch):
+    """The words of lines are split and hashed in one plan, whether ids are broadcast or shuffled."""
+    calls, words = [], line_dedup._words
+    monkeypatch.setattr(line_dedup, "_words", lambda line: calls.append(1) or words(line))
+    rows = [r for r in corpus(3, 30) if r[0] is not None]
+    docs, wanted = docs_table(spark, rows), set(brute_lines(rows).values())
+    for small in (line_dedup.SMALL, 0):
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        calls.clear()
+        got = {(x.text, x.n_lines, x.n_removed) for x in line_dedup.dedup_lines(docs).collect()}
+        assert len(calls) == 1 and wanted <= got
+
+
 # --- 5, 7 ---
 
 
